@@ -3,12 +3,15 @@
 A document is the set of its word n-grams. Sets are split recursively: at every node ``BRANCHES``
 tokens are sampled (the minimum of a random order over the set, so two sets draw the same token
 with probability equal to their Jaccard similarity), and the sets that drew the same token form a
-child node. A node of at most ``SMALL`` sets is compared pair by pair; larger ones split again, to
-``DEPTH`` levels, after which even a large node is compared completely, in tiles. A pair at the
+child node. A node of at most ``SMALL`` sets is compared pair by pair, and so is one that splitting
+wouldn't make cheaper: if the squares of its children's sizes add up to its own square or more, as they do
+among near copies of one text. Other nodes split again, to ``DEPTH`` levels, after which even a large node
+is compared completely. Large comparisons are done in tiles. A pair at the
 threshold survives a node with a probability that the branching recurrence gives, and the runs are
 repeated (``runs``) until the chance to miss it in all of them is under ``1 - recall``.
 
-The comparison in a node uses signatures, dropping pairs 3 standard errors under the threshold. The
+The comparison in a node uses signatures, dropping pairs 3 standard errors under the threshold, and pairs
+that an earlier node of the first level has compared already. The
 rest are verified exactly: connected candidates share a verification group, so that a text is
 shipped once, and only the texts of candidates are shipped at all. Equal sets are one set from the
 start, found by a 128-bit digest of the sorted set, so groups of copies cost nothing to search.
@@ -41,6 +44,9 @@ DEPTH = 5
 #: Sets in a tile of a node that stayed large, and in a tile of a verification group.
 TILE = 1024
 
+#: Coordinates that make the nodes of the first level; a signature is packed as these, whole, and the low bytes of all.
+_HEADS = 32
+
 _MULS = np.random.default_rng(20240607).integers(1, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADDS = np.random.default_rng(20240608).integers(1, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32)
 
@@ -66,6 +72,10 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(sig: np.ndarray) -> bytes:
+    return sig[:_HEADS].tobytes() + sig.astype(np.uint8).tobytes()
+
+
 def _sketch(n: int):
     def sketch(batches):
         cache = WordHashes()
@@ -80,22 +90,29 @@ def _sketch(n: int):
                     sig.append(_signature(s))
             values = np.concatenate(sig).view(np.int32) if sig else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), pa.array(fp, pa.binary()), pa.ListArray.from_arrays(np.arange(0, len(values) + 1, COORDINATES, dtype=np.int32), pa.array(values))], ["rid", "fp", "sig"]
+                [
+                    pa.array(rid, pa.int64()),
+                    pa.array(fp, pa.binary()),
+                    pa.ListArray.from_arrays(np.arange(0, len(values) + 1, COORDINATES, dtype=np.int32), pa.array(values)),
+                    pa.array([_packed(x) for x in sig], pa.binary()),
+                ],
+                ["rid", "fp", "sig", "pack"],
             )
 
     return sketch
 
 
 def _compare(least: int):
-    """Pairs within each node whose signatures agree in ``least`` coordinates. Rows are (node, side, rid, sig); side 1 and 2
-    are compared across only, side 0 with all of its node."""
+    """Pairs within each node whose signatures agree in ``least`` coordinates. Rows are (node, side, rid, first, leaves, pack);
+    side 1 and 2 are compared across only, side 0 with all of its node; ``first`` is the node's number on the
+    first level or -1, ``leaves`` has the bits of the row's nodes on the first level that are compared."""
 
     def compare(batches):
         for t in groups(batches, "node"):
-            node = t.column("node").to_numpy()
-            side = t.column("side").to_numpy()
-            rid = t.column("rid").to_numpy()
-            sig = np.asarray(t.column("sig").combine_chunks().flatten()).reshape(-1, COORDINATES)
+            node, side, rid, first, leaves = (t.column(c).to_numpy() for c in ("node", "side", "rid", "first", "leaves"))
+            pack = np.frombuffer(b"".join(t.column("pack").to_pylist()), np.uint8).reshape(len(node), -1)
+            heads, sig = np.ascontiguousarray(pack[:, : 4 * _HEADS]).view(np.uint32), np.ascontiguousarray(pack[:, 4 * _HEADS :])
+            before = (np.int64(1) << np.where(first < 0, _HEADS, first)) - 1
             n, found = len(node), []
             idx = np.arange(n)
             for d in range(1, n):
@@ -106,8 +123,11 @@ def _compare(least: int):
                 i = idx[(side[idx] == 0) | (side[idx] != side[idx + d])]
                 for k in range(0, len(i), 65536):
                     a = i[k : k + 65536]
-                    a = a[(sig[a] == sig[a + d]).sum(axis=1) >= least]
-                    found.append(np.stack([rid[a], rid[a + d]]))
+                    a = a[np.count_nonzero(sig[a] == sig[a + d], axis=1) >= least]
+                    if len(a):
+                        met = (heads[a] == heads[a + d]) @ (np.int64(1) << np.arange(_HEADS))
+                        a = a[(met & leaves[a] & before[a]) == 0]
+                        found.append(np.stack([rid[a], rid[a + d]]))
             if found:
                 ab = np.concatenate(found, axis=1)
                 ab.sort(axis=0)
@@ -119,29 +139,35 @@ def _compare(least: int):
 
 
 def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Distinct pairs (a, b) of rows of ``sets`` (rid, sig) that meet in a leaf and whose signatures are near enough."""
+    """Distinct pairs (a, b) of rows of ``sets`` (rid, sig, pack) that meet in a leaf and whose signatures are near enough."""
     n_runs = runs(threshold, recall)
-    cols = [i % COORDINATES for i in range(n_runs * BRANCHES)]
+    first = min(_HEADS, n_runs * BRANCHES)
     child = lambda node, j, at: F.xxhash64(node, F.lit(j), at)
-    rows = write_table(
-        sets.select("rid", F.explode(F.array(*[child(F.lit(i // BRANCHES), i, F.col("sig")[c]) for i, c in enumerate(cols)])).alias("node"))
-    )
-    leaves, written = [], [rows]
+    start = [F.struct(child(F.lit(i // BRANCHES), i, F.col("sig")[i]).alias("node"), F.lit(i).alias("first")) for i in range(first)]
+    rows = write_table(sets.select("rid", F.explode(F.array(*start)).alias("s")).select("rid", "s.node", "s.first"))
+    sizes = write_table(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
+    leaves, written = [], [rows, sizes]
+
+    def leaf(which: DataFrame) -> None:
+        leaves.append(write_table(rows.join(which, "node").select("node", "rid", "first", "n")))
+
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        final = level == DEPTH
-        leaves.append(write_table(rows.join(sizes if final else sizes.filter(F.col("n") <= SMALL), "node").select("node", "rid", "n")))
-        written.append(leaves[-1])
-        if final:
-            break
-        large = write_table(sizes.filter(F.col("n") > SMALL))
-        written.append(large)
-        if large.isEmpty():
+        large = sizes.filter(F.col("n") > SMALL)
+        if level == DEPTH or large.isEmpty():
+            leaf(sizes)
             break
-        split = rows.join(large, "node").join(sets, "rid")
+        leaf(sizes.filter(F.col("n") <= SMALL))
         pick = lambda j: F.expr(f"element_at(sig, cast(pmod(xxhash64(node, {j}), {COORDINATES}) + 1 as int))")
-        rows = write_table(split.select("rid", F.explode(F.array(*[child(F.col("node"), j, pick(j)) for j in range(BRANCHES)])).alias("node")))
-        written.append(rows)
+        split = rows.join(large, "node").join(sets, "rid")
+        split = write_table(split.select("rid", F.col("node").alias("parent"), "n", F.explode(F.array(*[child(F.col("node"), j, pick(j)) for j in range(BRANCHES)])).alias("node")))
+        kids = write_table(split.groupBy("parent", "n", "node").agg(F.count("*").alias("c")))
+        dense = write_table(kids.groupBy("parent", "n").agg(F.sum(F.col("c") * F.col("c")).alias("squares")).filter("squares >= n * n").select(F.col("parent").alias("node"), "n"))
+        written += [split, kids, dense]
+        leaf(dense)
+        gone = dense.select(F.col("node").alias("parent"))
+        rows = write_table(split.join(gone, "parent", "left_anti").select("rid", "node", F.lit(-1).alias("first")))
+        sizes = write_table(kids.filter("c > 1").join(gone, "parent", "left_anti").select("node", F.col("c").alias("n")))
+        written += [rows, sizes]
     all_leaves = leaves[0]
     for x in leaves[1:]:
         all_leaves = all_leaves.unionByName(x)
@@ -150,17 +176,26 @@ def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     mine = F.pmod(F.xxhash64("rid"), tiles).cast("int")
     tiled = (
         all_leaves.filter(F.col("n") > TILE)
-        .select("rid", "node", mine.alias("i"), tiles.alias("m"))
-        .select("rid", "node", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-        .select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"), "rid")
+        .select("rid", "first", "node", mine.alias("i"), tiles.alias("m"))
+        .select("rid", "first", "node", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+        .select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"), "first", "rid")
     )
-    met = all_leaves.filter(F.col("n") <= TILE).select("node", F.lit(0).alias("side"), "rid").unionByName(tiled)
+    met = all_leaves.filter(F.col("n") <= TILE).select("node", F.lit(0).alias("side"), "first", "rid").unionByName(tiled)
+    # All places of a row travel together to its signature, which is read once and then copied to each.
+    bit = F.when(F.col("first") >= 0, F.expr("shiftleft(1L, first)")).otherwise(F.lit(0).cast("long"))
+    places = met.groupBy("rid").agg(F.collect_list(F.struct("node", "side", "first")).alias("at"), F.bit_or(bit).alias("leaves"))
     least = math.ceil(COORDINATES * max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
     pairs = (
-        met.join(sets, "rid").select("node", "side", "rid", "sig").repartition("node").sortWithinPartitions("node").mapInArrow(_compare(least), "a long, b long").distinct()
+        places.join(sets.select("rid", "pack"), "rid")
+        .select(F.explode("at").alias("at"), "rid", "leaves", "pack")
+        .select("at.node", "at.side", "rid", "at.first", "leaves", "pack")
+        .repartition("node")
+        .sortWithinPartitions("node")
+        .mapInArrow(_compare(least), "a long, b long")
+        .distinct()
     )
     out = write_table(pairs)
-    drop_tables(*written)
+    drop_tables(*written, *leaves)
     return out
 
 
@@ -212,12 +247,12 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     """rows with a row id; (rid, rep) of every row with words; (a, b, jaccard) of pairs of reps, both written."""
     rows, rid = with_row_id(docs)
     texts = rows.select(F.col(rid).alias("rid"), F.col(text_col).alias("text"))
-    sketches = write_table(texts.mapInArrow(_sketch(n), "rid long, fp binary, sig array<int>"))
-    reps = sketches.groupBy("fp").agg(F.min(F.struct("rid", "sig")).alias("x"))
-    sets = write_table(reps.select("fp", "x.rid", "x.sig"))
+    sketches = write_table(texts.mapInArrow(_sketch(n), "rid long, fp binary, sig array<int>, pack binary"))
+    reps = sketches.groupBy("fp").agg(F.min(F.struct("rid", "sig", "pack")).alias("x"))
+    sets = write_table(reps.select("fp", "x.rid", "x.sig", "x.pack"))
     members = write_table(sketches.select("rid", "fp").join(sets.select("fp", F.col("rid").alias("rep")), "fp").select("rid", "rep"))
     drop_tables(sketches)
-    near = _candidates(sets.select("rid", "sig"), threshold, recall)
+    near = _candidates(sets.select("rid", "sig", "pack"), threshold, recall)
     drop_tables(sets)
     roots = components(near)
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
