@@ -248,8 +248,12 @@ def _descend(x: np.ndarray, y: np.ndarray, n: int, steps: int = 150) -> tuple[np
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Model:
     """Fitted on the templates and paragraphs of ``most`` documents, the first in a hash order of their ids, then texts."""
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL").select("text", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"))
-    rows = some.orderBy("h", "t").limit(most).collect()
+    rows = docs.select(F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    last = rows.select("h", "t").orderBy("h", "t").limit(most).agg(F.max(F.struct("h", "t")).alias("last")).first()["last"]
+    if last is None:
+        return fit([])
+    some = rows.filter((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("t") <= last["t"])))
+    rows = some.select("h", "t", "text").distinct().orderBy("h", "t").collect()
     return fit([p for r in rows for p in r["text"].split("\n")[:20]][:2000])
 
 
