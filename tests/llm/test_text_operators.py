@@ -1,0 +1,304 @@
+"""Operators that look at one row: against brute force, exact round trips, and on awkward rows."""
+
+import gzip
+import random
+import re
+
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from cloakframe.llm import archive, bpe, html_extract, license_scan, secrets
+
+ODD = [None, "", " ", "\n\n", "word", "é" * 50_000, "a" * 200_000, "x y " * 60_000, "word", "'" * 999, "<" * 999, "=" * 999]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Awkward texts, repeated rows, null and tied ids, and columns whose names clash with those of results."""
+    rows = [(i if i % 5 else None, t, "fr", 1) for i, t in enumerate(ODD + ODD[:3])] + [(7, "tie", None, None)] * 2
+    return spark.createDataFrame(rows, "doc_id long, text string, token_ids string, n long")
+
+
+def empty(df):
+    return df.limit(0)
+
+
+# ---- BPE ----
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe.Codec(bpe.load_ranks(bpe.VOCABULARY))
+
+
+def merged(piece: bytes, ranks: dict) -> list[int]:
+    """Byte-pair merges by the rule itself."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_bpe_is_exact_on_whole_texts(codec, spark, sf_dir):
+    whole = tiktoken.Encoding("whole", pat_str=bpe.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng, alphabet = random.Random(3), "ab é 　 \u0085 \n\t'’sldtm!~.3٣中ß𝄞\x1c"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    for t in texts:
+        ids = codec.encode(t)
+        assert ids == whole.encode_ordinary(t), t
+        assert codec.decode(ids) == t
+
+
+def test_bpe_follows_the_merge_rule(codec):
+    import regex
+
+    split = regex.compile(bpe.PATTERN).findall
+    for t in ["Forced boundaries mark cuts, don't they?", "überraschend schön 12345", "x!'s ...   \n\n y"]:
+        assert codec.encode(t) == [i for p in split(t) for i in merged(p.encode(), codec.ranks)]
+
+
+def test_cuts_are_pairs_inside_no_token(codec):
+    inside = {t[i : i + 2] for t in codec.ranks for i in range(len(t) - 1)}
+    b = "Some text, with (many) kinds: of pairs~.".encode()
+    ends = codec.cuts(b)
+    assert len(ends) > 5 and ends[-1] == len(b)
+    assert all(b[e - 1 : e + 1] not in inside for e in ends[:-1])
+
+
+def test_bpe_rows(spark, odd):
+    got = bpe.tokens(odd).collect()
+    assert len(got) == odd.count()
+    for r in got:
+        assert (r["token_ids"] is None) == (r["round_trip"] is None) == (r["n_tokens"] is None)
+        assert r["round_trip"] is not False and (r["token_ids"] is None or len(r["token_ids"]) == r["n_tokens"])
+    assert bpe.tokens(empty(odd)).count() == 0
+    wide = bpe.with_tokens(odd)
+    assert wide.columns == odd.columns
+    assert wide.select(F.count_if(bpe.decoder(spark)("token_ids").eqNullSafe(F.col("text")))).first()[0] == odd.count()
+    bad = spark.createDataFrame([([999_999],)], "i array<int>")
+    assert bad.select(bpe.decoder(spark)("i")).first()[0] is None
+
+
+# ---- HTML ----
+
+PAGE = (
+    "<html><head><title>T</title><style>p{margin:0}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a><li>About</ul></nav>"
+    "<!-- hidden <p>words</p> --><article><h1>Heading</h1><p>BODY</p><p>Second &amp; last.</p></article><footer>Imprint</footer></body></html>"
+)
+
+
+def test_html_keeps_the_plateau():
+    body = "All the words of a long paragraph, which stand for an article. " * 5
+    text = html_extract.text_of(PAGE.replace("BODY", body))
+    assert text == "Heading\n" + body.strip() + "\nSecond & last."
+
+
+def brute_regions(sizes, block, surge):
+    """Blocks by definition: a plateau is a run of blocks that aren't empty and holds one above the surge."""
+    blocks = [sum(sizes[i : i + block]) for i in range(len(sizes))]
+    surge = min(surge, max(blocks, default=0) - 1)
+    out, i = [], 0
+    while i < len(blocks):
+        if not blocks[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(blocks) and blocks[j]:
+            j += 1
+        if max(blocks[i:j]) > surge:
+            out.append((i, j))
+        i = j
+    return out if max(blocks, default=0) else []
+
+
+def test_html_regions_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(2000):
+        sizes = [rng.choice([0, 0, 0, 5, 40, 90]) for _ in range(rng.randint(0, 25))]
+        got = html_extract.regions(sizes)
+        kept = lambda regions: [i for a, b in regions for i in range(a, b) if sizes[i]]
+        assert kept(got) == kept(brute_regions(sizes, html_extract.BLOCK, html_extract.SURGE)), sizes
+
+
+def test_html_against_article_tags(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    text = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    import html
+
+    shares = []
+    for r in pages.collect():
+        truth = set(html.unescape(re.sub("<[^>]*>", " ", re.search("<article>(.*?)</article>", r["html"], re.S)[1])).split())
+        found = set(text[r["page_id"]].split())
+        shares.append(len(truth & found) / max(1, len(truth | found)))
+    # A page whose article is shorter than its footer has its surge there.
+    assert sum(s >= 0.95 for s in shares) >= 0.95 * len(shares)
+
+
+def test_html_rows(odd):
+    pages = odd.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), "text")
+    got = html_extract.extract(pages).collect()
+    assert len(got) == odd.count() and sum(r["text"] is None for r in got) == 2
+    assert html_extract.extract(empty(pages)).count() == 0
+    assert html_extract.text_of("<script>never closed") == "" and html_extract.text_of("<!-- never") == ""
+
+
+# ---- licences ----
+
+
+@pytest.fixture(scope="module")
+def licences():
+    rng = random.Random(2)
+    return license_scan.fit([" ".join(rng.choice(["the", "of", "stone", "river", "under", "walks", "and", "it", "version"]) for _ in range(30)) for _ in range(200)])
+
+
+@pytest.mark.parametrize(
+    "text,family",
+    [
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Released under the MIT License.", "MIT"),
+        ("Licensed under CC BY-NC 4.0.", "CC-BY-NC"),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("You may use this file under the terms of the GNU Lesser General Public License as published", "LGPL"),
+        ("released### under*** the&&& mit%%% license", "MIT"),
+    ],
+)
+def test_licence_families(licences, text, family):
+    [(got, p, near, sure)] = licences.paragraph(text)
+    assert got == family and sure and p > license_scan.CONFIDENT and near >= license_scan.COVERED
+
+
+@pytest.mark.parametrize("text", ["A fishing license is sold at the harbour office.", "She asked for permission to leave.", "copyright questions are dull"])
+def test_licence_unknown(licences, text):
+    assert not any(sure for _, _, _, sure in licences.paragraph(text))
+
+
+def test_licence_in_a_long_paragraph(licences):
+    text = "stone river walks and it " * 40 + "Licensed under the Apache License, Version 2.0. " + "the river of stone " * 40
+    assert [(f, sure) for f, _, _, sure in licences.paragraph(text)] == [("Apache-2.0", True)]
+
+
+def test_licence_held_out_accuracy(licences):
+    """Variations that training didn't see."""
+    import numpy as np
+
+    rng, right, all_ = np.random.default_rng(99), 0, 0
+    filler = "stone river walks and it the of".split()
+    for family, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            for _ in range(5):
+                w = license_scan._variation(license_scan.words(t), filler, rng)
+                p = licences.probabilities(w)
+                right += licences.classes[int(p.argmax())] == family
+                all_ += 1
+    assert right / all_ > 0.95
+
+
+def test_licence_rows(spark, odd, licences):
+    more = spark.createDataFrame([(1, "Released under the MIT License.\nx\nLicensed under CC BY-NC 4.0.", "", 0)] * 2, odd.schema)
+    got = license_scan.scan(odd.unionByName(more), model=licences).collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(1, 0, "MIT"), (1, 0, "MIT"), (1, 2, "CC-BY-NC"), (1, 2, "CC-BY-NC")]
+    assert license_scan.scan(empty(odd)).count() == 0
+
+
+# ---- secrets ----
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', [("token", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")]),
+        ('BASE = "sk-live-9f8a"\npassword: str = BASE + "77xYz!"', [("password", "sk-live-9f8a77xYz!")]),
+        ("password = LATER\nLATER = 'k9k9k9aa1'", [("password", "k9k9k9aa1")]),
+        ("export API_KEY=abc123DEF456ghi", [("API_KEY", "abc123DEF456ghi")]),
+        ('{"client_secret": "Zx81kk2mmQ90", "password_length": 12}', [("client_secret", "Zx81kk2mmQ90")]),
+        ("cfg['auth_token'] = 'tok_81hhs7266'", [("cfg.auth_token", "tok_81hhs7266")]),
+        ("api_key: q9w8e7r6t5", [("api_key", "q9w8e7r6t5")]),
+        ('password = """two\nlines 9981"""', [("password", "two\nlines 9981")]),
+        ("don't use password='abc12345x'", [("password", "abc12345x")]),
+        ("secret: ${VAULT}", []),
+        ('password = os.environ.get("PW", "abcdefgh1")', []),
+        ("A = B\nB = A\nsecret = A", []),
+        ("the token: is lost in prose", []),
+        ('colour = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', []),
+        ('password = "changeme"', []),
+    ],
+)
+def test_secrets(text, found):
+    assert [(n, v) for n, v, *_ in secrets.findings(text)] == found
+
+
+def test_secret_places(spark, sf_dir):
+    """Findings on the test documents are those of the one form that they hold, by a plain search."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted((r["doc_id"], m.start(1)) for r in docs.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r["text"]))
+    got = sorted((r["doc_id"], r["place"]) for r in secrets.scan(docs).collect())
+    assert got == want
+
+
+def test_secret_rows(spark, odd):
+    more = spark.createDataFrame([(None, "pwd = 'aa11bb22cc33'", "", 0), (3, "pwd = 'aa11bb22cc33'", "", 0)] * 2, odd.schema)
+    assert sorted(str(r["doc_id"]) for r in secrets.scan(odd.unionByName(more)).collect()) == ["3", "3", "None", "None"]
+    assert secrets.scan(empty(odd)).count() == 0
+    assert secrets.findings("a = 'x1y2z3'\n" + "a = a + a\n" * 500 + "token = a") == []
+
+
+# ---- archives ----
+
+
+def test_arc_to_warc():
+    entries = [("http://a.org/b c", "192.0.2.7", "20010203040506", "text/html", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nhello"), ("dns:a.org", "0.0.0.0", "2001", "text/dns", b"xyz")]
+    for version in (1, 2):
+        rows = [archive.converted("x", i, r) for i, r in enumerate(archive.records(archive.expanded(gzip.compress(archive.arc_file("f.arc", entries, version)))))]
+        assert [r[1] for r in rows] == ["warcinfo", "response", "resource"]
+        assert rows[1][3] == "http://a.org/b c" and f"{rows[1][5]:%Y%m%d%H%M%S}" == "20010203040506" and f"{rows[2][5]:%Y%m%d%H%M%S}" == "20010101000000"
+        # The record read back: declared length, block, digests.
+        head, _, rest = rows[1][-1].partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert rest == entries[0][4] + b"\r\n\r\n" and int(fields["Content-Length"]) == len(entries[0][4])
+        import base64
+        import hashlib
+
+        digest = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+        assert fields["WARC-Block-Digest"] == digest(entries[0][4]) and fields["WARC-Payload-Digest"] == digest(b"hello")
+        assert fields["WARC-Date"] == "2001-02-03T04:05:06Z" and fields["WARC-Record-ID"] == f"<{rows[1][2]}>"
+        assert len({r[2] for r in rows}) == 3
+
+
+def test_arc_damage():
+    whole = archive.arc_file("f.arc", [("http://a.org/", "1.2.3.4", "20010203040506", "text/html", b"0123456789")])
+    cut = list(archive.records(whole[:-6]))
+    assert cut[-1][3] and cut[-1][2] == b"01234"
+    junk = list(archive.records(b"junk\nmore junk\n" + whole + b"tail junk\n"))
+    assert [r[4] for r in junk] == [2, 0, 1] and junk[-1][0] is None
+    assert list(archive.records(b"")) == [] and archive.moment("20011399") is None and archive.moment("x") is None
+    assert archive.expanded(gzip.compress(b"a") + gzip.compress(b"b") + b"\x1f\x8bbroken") == b"ab"
+
+
+def test_arc_of_pages_round_trip(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = archive.convert(archive.arcs_of_pages(pages), "page_id", "arc").filter("warc_type = 'response'").collect()
+    html = {r["page_id"]: (r["url"], r["html"]) for r in pages.collect()}
+    assert len(got) == len(html)
+    for r in got:
+        url, body = html[r["page_id"]]
+        assert r["target_uri"] == url and bytes(r["warc"]).endswith(body.encode() + b"\r\n\r\n")
+
+
+def test_arc_rows(spark):
+    rows = [(1, None, None), (None, "http://x y\n/", "h"), (1, "", ""), (1, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit(1))
+    got = archive.convert(archive.arcs_of_pages(pages), "page_id", "arc").collect()
+    assert len(got) == 8 and sum(r["page_id"] is None for r in got) == 2
+    assert archive.convert(spark.createDataFrame([(1, None), (2, b"")], "page_id long, arc binary"), "page_id", "arc").count() == 0
+
+
+def test_read_arc(spark, tmp_path):
+    data = archive.arc_file("f.arc", [("http://a.org/", "1.2.3.4", "20010203040506", "text/html", b"HTTP/1.1 200 OK\n\nx")])
+    (tmp_path / "a.arc").write_bytes(data)
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(data))
+    assert sorted(r["warc_type"] for r in archive.read_arc(spark, str(tmp_path)).collect()) == ["response"] * 2 + ["warcinfo"] * 2
