@@ -104,7 +104,13 @@ def _gated(column: Column | str, patterns: Sequence[str] | None, encrypt: crypto
     return F.coalesce(protect(F.when(candidate, c)), c)
 
 
-def rekey_pii_fpe(column: Column | str, old_key: bytes, old_tweak: bytes, new_key: bytes, new_tweak: bytes, mode: str = "ff3", pattern: str | None = None) -> Column:
+def rekey_pii_fpe(
+    column: Column | str,
+    old_key: bytes, old_tweak: bytes | bytearray,
+    new_key: bytes, new_tweak: bytes | bytearray,
+    mode: str = "ff3",
+    pattern: str | None = None,
+) -> Column:
     """Cells that hold one encrypted identifier each, decrypted with the old key and encrypted with the new one.
 
     A cell that can't be rotated fails the query; the error doesn't show the cell. ``pattern`` names the family

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from ..families import BY_NAME, CALLING_CODES, CF_ODD, CONTEXT_BYTES, FIELDS, Family
+from ..families import BY_NAME, CALLING_CODES, CF_ODD, CONTEXT, CONTEXT_BYTES, FIELDS, Family, ints
 
 
 def _raw(pattern: str) -> str:
@@ -72,7 +72,7 @@ _IBAN = (
     f"exists(array(concat(substr(w,5),substr(w,1,4))), r -> {_MOD97} = 1) ELSE false END)),0)"
 )
 _CPF = [_check11(_sum(range(n + 1, 1, -1)), n + 1) for n in (9, 10)]
-_W = [6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+_W = ints("6 5 4 3 2 9 8 7 6 5 4 3 2")
 _CNPJ = [_check11(_sum(_W[13 - n :]), n + 1) for n in (12, 13)]
 _REPEATED = "d <> repeat(substr(d,1,1), length(d))"
 #: 16 digits, filled with zeros on the left, doubled at every second from the right.
@@ -80,7 +80,7 @@ _CARD = f"exists(array(lpad(d,16,'0')), d -> {_luhn(16, range(1, 17, 2))} % 10 =
 _RUT_SUM = "aggregate(transform(sequence(1,length(d)), p -> (2+(p-1)%6)*(ascii(substr(d,length(d)-p+1,1))-48)), 0, (m, x) -> m+x)"
 _RUT = f"exists(array(regexp_replace(substr(t,1,length(t)-2),'[^0-9]','')), d -> exists(array(11 - {_RUT_SUM} % 11), k -> upper(right(t,1)) = (CASE WHEN k=11 THEN '0' WHEN k=10 THEN 'K' ELSE cast(k as string) END)))"
 _PERSON = "exists(array(right(d,10)), d -> (" + "+".join(_double(i) if i % 2 else _digit(i) for i in range(1, 11)) + ") % 10 = 0)"
-_NEXT = "NOT a rlike " + _raw(r"^(?:-[0-9Kk]|/\d{4}-?\d{2}\b)")
+_NEXT = "NOT a rlike " + _raw(r"^(?:-[0-9Kk]|/(?:\d\d){2}-?\d\d\b)")
 _CODE = "length(regexp_extract(regexp_replace(t,'[^0-9+]',''), '^(?:" + "|".join(c.replace("+", "[+]") for c in CALLING_CODES) + ")', 0))"
 _KEEP = f"(CASE WHEN {_CODE} = 0 THEN 2 ELSE {_CODE} END)"
 
@@ -90,7 +90,7 @@ def _reach(text: str, side: str) -> str:
     return f"coalesce(get(filter(transform(sequence({CONTEXT_BYTES // 4},{CONTEXT_BYTES}), k -> {side}({text},k)), z -> octet_length(z) >= {CONTEXT_BYTES}),0), {text})"
 
 
-_PERU = f"concat({_reach('b', 'right')}, t, {_reach('a', 'left')}) rlike " + _raw(r"(?i)\b(dni|d\.n\.i\.?|documento nacional de identidad)\b")
+_PERU = f"concat({_reach('b', 'right')}, t, {_reach('a', 'left')}) rlike " + _raw(r"(?i)\b(" + "|".join(CONTEXT) + r")\b")
 
 _STARRED = "regexp_replace(t,'[0-9]','*')"
 _STARS = "repeat('*',length(t))"
@@ -104,7 +104,7 @@ CHECKS: dict[str, list[str | None]] = {
     "curp": [None],
     "dni": [f"({_ASCII} AND substr('TRWAGMYFPDXBNJZSQVHLCKE', try_cast(left(t,8) as int)%23+1, 1) = right(t,1))"],
     "nie": [f"({_ASCII} AND substr('TRWAGMYFPDXBNJZSQVHLCKE', try_cast(concat(translate(left(t,1),'XYZ','012'),substr(t,2,7)) as int)%23+1, 1) = right(t,1))"],
-    "nin": ["left(t,2) NOT IN ('BG','GB','KN','NK','NT','TN','ZZ')"],
+    "nin": ["left(t,2) NOT IN (" + ",".join(f"'{x}'" for x in "BG GB KN NK NT TN ZZ".split()) + ")"],
     "personalausweis": [f"aggregate({_chars('left(t,9)')}, 0, (m, x) -> m + get(array(7,3,1), x.i%3) * exists_value) % 10 = ascii(right(t,1))-48".replace("exists_value", _VALUE.replace("c)", "x.c)").replace("WHEN c", "WHEN x.c"))],
     "us_passport": [None],
     "mbi": [None],
@@ -120,19 +120,19 @@ CHECKS: dict[str, list[str | None]] = {
     "ssn": [f"({_ASCII} AND left(t,3) NOT IN ('000','666') AND left(t,1) <> '9' AND substr(t,5,2) <> '00' AND right(t,4) <> '0000' AND t NOT IN ('078-05-1120','219-09-9999'))"],
     "arg_dni": [_NEXT],
     "co_cc": [_NEXT],
-    "co_nit": [_over_digits("=10", _check11(_sum([3, 7, 13, 17, 19, 23, 29, 37, 41], range(9, 0, -1)), 10).replace("THEN 0", f"THEN {_sum([3, 7, 13, 17, 19, 23, 29, 37, 41], range(9, 0, -1))} % 11"))],
+    "co_nit": [_over_digits("=10", _check11(_sum(ints("3 7 13 17 19 23 29 37 41"), range(9, 0, -1)), 10).replace("THEN 0", f"THEN {_sum(ints("3 7 13 17 19 23 29 37 41"), range(9, 0, -1))} % 11"))],
     "personnummer": [_over_digits("=10", _PERSON), _over_digits("=12", _PERSON)],
     "ec_cedula": [_pure(10, f"{_digit(1)}*10+{_digit(2)} BETWEEN 1 AND 24 AND {_digit(3)} < 6 AND (" + "+".join(_double(i) if i % 2 else _digit(i) for i in range(1, 10)) + f"+{_digit(10)}) % 10 = 0")],
     "pe_dni": [_PERU],
     "npi": [_pure(10, "(24+" + "+".join(_double(i) if i % 2 else _digit(i) for i in range(1, 10)) + f"+{_digit(10)}) % 10 = 0")],
     "nhs": [_over_digits("=10", f"(11 - {_sum(range(10, 1, -1))} % 11) % 11 = {_digit(10)}")],
-    "uy_ci": [_over_digits("=8", f"({_sum([2, 9, 8, 7, 6, 3, 4])}+{_digit(8)}) % 10 = 0")],
+    "uy_ci": [_over_digits("=8", f"({_sum(ints("2 9 8 7 6 3 4"))}+{_digit(8)}) % 10 = 0")],
     "sin": [_over_digits("=9", f"{_luhn(9, range(2, 9, 2))} % 10 = 0"), _pure(9, f"{_luhn(9, range(2, 9, 2))} % 10 = 0") + " AND NOT startswith(a,'-')"],
-    "tfn": [_over_digits("=9", f"{_sum([1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0"), _pure(9, f"{_sum([1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0")],
-    "pesel": [_pure(11, f"({_sum([1, 3, 7, 9, 1, 3, 7, 9, 1, 3, 1])}) % 10 = 0")],
-    "bsn": [_pure(9, f"{_sum([9, 8, 7, 6, 5, 4, 3, 2, -1])} > 0 AND {_sum([9, 8, 7, 6, 5, 4, 3, 2, -1])} % 11 = 0")],
-    "my_number": [_over_digits("=12", _check11(_sum([6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2]), 12))] * 2,
-    "rrn": [_over_digits("=13", f"{_DATE} AND (11 - {_sum([2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5])} % 11) % 10 = {_digit(13)}")] * 2,
+    "tfn": [_over_digits("=9", f"{_sum(ints("1 4 3 7 5 8 6 9 10"))} % 11 = 0"), _pure(9, f"{_sum(ints("1 4 3 7 5 8 6 9 10"))} % 11 = 0")],
+    "pesel": [_pure(11, f"({_sum(ints("1 3 7 9 1 3 7 9 1 3 1"))}) % 10 = 0")],
+    "bsn": [_pure(9, f"{_sum(ints("9 8 7 6 5 4 3 2 -1"))} > 0 AND {_sum(ints("9 8 7 6 5 4 3 2 -1"))} % 11 = 0")],
+    "my_number": [_over_digits("=12", _check11(_sum(ints("6 5 4 3 2 7 6 5 4 3 2")), 12))] * 2,
+    "rrn": [_over_digits("=13", f"{_DATE} AND (11 - {_sum(ints("2 3 4 5 6 7 8 9 2 3 4 5"))} % 11) % 10 = {_digit(13)}")] * 2,
     "za_id": [_pure(13, f"{_DATE} AND {_digit(11)} <= 2 AND {_luhn(13, range(2, 13, 2))} % 10 = 0") + " AND NOT startswith(a,'-') AND NOT endswith(b,'-')"],
     "il_id": [_pure(9, f"{_luhn(9, range(2, 9, 2))} % 10 = 0") + " AND NOT startswith(a,'-') AND NOT endswith(b,'-')"],
 }
@@ -267,7 +267,7 @@ def _has_v6(x: str) -> str:
 
 
 def _v6_stage(x: str) -> str:
-    part = "concat(array_join(transform(slice(get(y.z,i).h,1,4), e -> coalesce(nullif(ltrim('0', lower(e)),''),'0')),':'), ':****:****:****:****', substr(get(y.t,i), length(get(y.z,i).v)+1))"
+    part = "concat(array_join(transform(slice(get(y.z,i).h,1,4), e -> coalesce(nullif(ltrim('0', lower(e)),''),'0')),':'), repeat(':****', 4), substr(get(y.t,i), length(get(y.z,i).v)+1))"
     text = f"array_join(transform(y.g, (g, i) -> concat(g, coalesce(CASE WHEN get(y.z,i) IS NOT NULL THEN {part} ELSE get(y.t,i) END,''))),'')"
     return f"CASE WHEN {_has_v6(x)} THEN {_let(_v6(x), 'y', f'''named_struct('x', {text}, 'n', size(filter(y.z, z -> z IS NOT NULL)))''')} ELSE named_struct('x', {x}, 'n', 0) END"
 

@@ -20,7 +20,7 @@ def _bytes(value: bytes, n: int, what: str) -> bytes:
 
 def validate_key(key: bytes) -> bytes:
     key = _bytes(key, KEY_BYTES, "key")
-    if len(set(key)) == 1:
+    if key == key[:1] * KEY_BYTES:
         raise ValueError("key must not be one byte repeated")
     return key
 
@@ -30,8 +30,8 @@ def validate_tweak(tweak: bytes) -> bytes:
 
 
 def _context(master: bytes, context: str) -> bytes:
-    if not isinstance(master, (bytes, bytearray)):
-        raise TypeError("master secret must be bytes")
+    if type(master) not in (bytes, bytearray):
+        raise TypeError("the master secret must be bytes")
     return context.encode()
 
 
@@ -42,5 +42,5 @@ def derive_key(master: bytes, context: str, salt: bytes = HKDF_SALT) -> bytes:
     return hmac.new(prk, info + b"\x01", hashlib.sha256).digest()
 
 
-def derive_tweak(master: bytes, context: str) -> bytes:
+def derive_tweak(master: bytes | bytearray, context: str) -> bytes:
     return hmac.new(master, b"tweak:" + _context(master, context), hashlib.sha256).digest()[:TWEAK_BYTES]

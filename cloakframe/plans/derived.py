@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from ..families import ints
+
 PRIME = 982451653
 
 
@@ -66,7 +68,7 @@ _DOTS = "regexp_replace(t, '[0-9]', '*', 'g')"
 _IBAN = f"concat('DE', {n(2, 3)}, {two(18)})"
 _CURP = f"concat({letter('BCDFG', 1)}, {letter('AEIOU', 2)}, {letter(UP, 3)}, {letter(UP, 4)}, {n(6)}, {letter('HM', 5)}, {letter(UP, 6)}, {letter(UP, 8)}, {letter('BCDFGHJKLMNPQRSTVWXYZ', 9)}, {letter('BCDFGHJKLMNPQRSTVWXYZ', 10)}, {letter('BCDFGHJKLMNPQRSTVWXYZ', 11)}, {letter(UP, 12)}, {n(1, 5)})"
 _MBI = "ACDEFGHJKMNPQRTUVWXY"
-_CF_ODD = [1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23]
+_CF_ODD = ints("1 0 5 7 9 13 15 17 19 21 2 4 18 20 11 3 6 8 12 14 16 10 22 25 24 23")
 _CF_AT = "(CASE WHEN substr(t, i, 1) >= 'A' THEN ord(substr(t, i, 1)) - 65 ELSE ord(substr(t, i, 1)) - 48 END)"
 _DATE = "D[3] * 10 + D[4] BETWEEN 1 AND 12 AND D[5] * 10 + D[6] BETWEEN 1 AND 31"
 _DAY = f"concat(lpad(cast(o_orderkey % 100 as varchar(20)), 2, '0'), lpad(cast(o_orderkey * 31 % 13 as varchar(20)), 2, '0'), lpad(cast(o_orderkey * 17 % 33 as varchar(20)), 2, '0'), {n(7, 11)})"
@@ -82,7 +84,7 @@ CASES = {
     "curp": Case(_CURP),
     "dni": Case(f"concat({n(8)}, {letter('TRWAGMYFPDXBNJZSQVHLCKE')})", f"'{_DNI}'[CAST(d AS INT) % 23 + 1] = t[9]", "concat(repeat('*', 8), t[9])"),
     "nie": Case(f"concat({letter('XYZ', 1)}, {n(7)}, {letter('TRWAGMYFPDXBNJZSQVHLCKE')})", f"'{_DNI}'[CAST(concat(instr('XYZ', t[1]) - 1, d) AS INT) % 23 + 1] = t[9]", "concat(repeat('*', 8), t[9])"),
-    "nin": Case(f"concat({letter('ABGNKTZ')}, {letter('ABEGKNT', 1)}, ' ', {cut(n(6), 2, ' ', 2, ' ', 2)}, ' ', {letter('ABCD')})", "t[1:2] NOT IN ('BG', 'GB', 'KN', 'NK', 'NT', 'TN', 'ZZ')", "concat(repeat('*', length(t) - 1), right(t, 1))"),
+    "nin": Case(f"concat({letter('ABGNKTZ')}, {letter('ABEGKNT', 1)}, ' ', {cut(n(6), 2, ' ', 2, ' ', 2)}, ' ', {letter('ABCD')})", "NOT contains('BG,GB,KN,NK,NT,TN,ZZ', t[1:2])", "concat(repeat('*', length(t) - 1), right(t, 1))"),
     "personalausweis": Case(f"concat({letter('CFGHJK')}, {n(8)}, {n(1, 3)})", "(list_sum(list_transform(range(2, 10), lambda i: CAST(t[i] AS INT) * ([7, 3, 1])[(i - 1) % 3 + 1])) + 7 * (ord(t[1]) - 55)) % 10 = CAST(t[10] AS INT)"),
     "us_passport": Case(f"concat({letter(UP)}, {n(8)})"),
     "mbi": Case(f"concat('1', {letter(_MBI)}, {letter('0123456789' + _MBI, 1)}, {n(1)}, {letter(_MBI, 2)}, {letter('0123456789' + _MBI, 3)}, {n(1, 2)}, {letter(_MBI, 4)}, {letter(_MBI, 5)}, {n(2, 9)})"),
@@ -93,25 +95,25 @@ CASES = {
     ),
     "phone": Case(f"concat('+49 ', {cut(n(10), 3, ' ', 7)})", masked="concat('+49 ', '*** *******')"),
     "rut": Case(f"concat({cut(n(8), 2, '.', 3, '.', 3)}, '-', {letter('0123456789K')})", f"right(t, 1) = '0K987654321'[(list_sum(list_transform(range(1, 9), lambda i: D[9 - i] * ((i - 1) % 6 + 2))) % 11 + 1)::bigint]", "concat(repeat('*', 10), right(t, 2))"),
-    "cpf": Case(cut(two(11), 3, ".", 3, ".", 3, "-", 2), f"len(list_distinct(D)) > 1 AND D[10] = {eleven(dot([10, 9, 8, 7, 6, 5, 4, 3, 2]))} AND D[11] = {eleven(dot([11, 10, 9, 8, 7, 6, 5, 4, 3, 2]))}", "concat('*********-', right(t, 2))"),
-    "cnpj": Case(cut(two(14), 2, ".", 3, ".", 3, "/", 4, "-", 2), f"len(list_distinct(D)) > 1 AND D[13] = {eleven(dot([5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]))} AND D[14] = {eleven(dot([6, 5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]))}", "concat('************-', right(t, 2))"),
+    "cpf": Case(cut(two(11), 3, ".", 3, ".", 3, "-", 2), f"len(list_distinct(D)) > 1 AND D[10] = {eleven(dot(ints("10 9 8 7 6 5 4 3 2")))} AND D[11] = {eleven(dot(ints("11 10 9 8 7 6 5 4 3 2")))}", "concat('*********-', right(t, 2))"),
+    "cnpj": Case(cut(two(14), 2, ".", 3, ".", 3, "/", 4, "-", 2), f"len(list_distinct(D)) > 1 AND D[13] = {eleven(dot(ints("5 4 3 2 9 8 7 6 5 4 3 2")))} AND D[14] = {eleven(dot(ints("6 5 4 3 2 9 8 7 6 5 4 3 2")))}", "concat('************-', right(t, 2))"),
     "credit_card": Case(f"concat('4', {cut(two(15), 3, ' ', 4, ' ', 4, ' ', 4)})", f"{luhn(1, 16, 1)} % 10 = 0", "concat(d[1:6], '******', d[13:16])"),
     "ssn": Case(cut(n(9), 3, "-", 2, "-", 4), "d[1:3] NOT IN ('000', '666') AND D[1] < 9 AND d[4:5] <> '00' AND d[6:9] <> '0000' AND d NOT IN ('078051120', '219099999')", "'***-**-****'"),
     "arg_dni": Case(cut(n(8), 2, ".", 3, ".", 3), masked=_DOTS),
     "co_cc": Case(f"concat('1', {cut(n(9), '.', 3, '.', 3, '.', 3)})", masked=_DOTS),
-    "co_nit": Case(f"concat({n(9)}, '-', {n(1, 3)})", "(CASE WHEN {s} % 11 < 2 THEN {s} % 11 ELSE 11 - {s} % 11 END) = D[10]".replace("{s}", dot([41, 37, 29, 23, 19, 17, 13, 7, 3])), "concat(repeat('*', 9), right(t, 2))"),
+    "co_nit": Case(f"concat({n(9)}, '-', {n(1, 3)})", "(CASE WHEN {s} % 11 < 2 THEN {s} % 11 ELSE 11 - {s} % 11 END) = D[10]".replace("{s}", dot(ints("41 37 29 23 19 17 13 7 3"))), "concat(repeat('*', 9), right(t, 2))"),
     "personnummer": Case(f"concat({n(6)}, '-', {n(4, 3)})", f"{luhn(1, 10, 1)} % 10 = 0", _DOTS),
     "ec_cedula": Case(n(10), f"D[1] * 10 + D[2] BETWEEN 1 AND 24 AND D[3] < 6 AND ({luhn(1, 9, 1)} + D[10]) % 10 = 0"),
     "pe_dni": Case(n(8)),
     "npi": Case(n(10), f"(24 + {luhn(1, 9, 1)} + D[10]) % 10 = 0"),
-    "nhs": Case(cut(n(10), 3, " ", 3, " ", 4), f"(11 - {dot([10, 9, 8, 7, 6, 5, 4, 3, 2])} % 11) % 11 = D[10]", _DOTS),
-    "uy_ci": Case(cut(n(8), 1, ".", 3, ".", 3, "-", 1), f"(10 - {dot([2, 9, 8, 7, 6, 3, 4])} % 10) % 10 = D[8]"),
+    "nhs": Case(cut(n(10), 3, " ", 3, " ", 4), f"(11 - {dot(ints("10 9 8 7 6 5 4 3 2"))} % 11) % 11 = D[10]", _DOTS),
+    "uy_ci": Case(cut(n(8), 1, ".", 3, ".", 3, "-", 1), f"(10 - {dot(ints("2 9 8 7 6 3 4"))} % 10) % 10 = D[8]"),
     "sin": Case(f"concat('4', {cut(n(8), 2, '-', 3, '-', 3)})", f"{luhn(1, 9, 0)} % 10 = 0"),
-    "tfn": Case(cut(n(9), 3, " ", 3, " ", 3), f"{dot([1, 4, 3, 7, 5, 8, 6, 9, 10])} % 11 = 0", "'*** *** ***'"),
-    "pesel": Case(two(11), f"(10 - {dot([1, 3, 7, 9, 1, 3, 7, 9, 1, 3])} % 10) % 10 = D[11]"),
-    "bsn": Case(n(9), "{s} > 0 AND {s} % 11 = 0".replace("{s}", dot([9, 8, 7, 6, 5, 4, 3, 2, -1]))),
-    "my_number": Case(cut(two(12), 4, "-", 4, "-", 4), f"{eleven(dot([6, 5, 4, 3, 2, 7, 6, 5, 4, 3, 2]))} = D[12]", "'****-****-****'"),
-    "rrn": Case(cut(_DAY, 6, "-", 7), f"{_DATE} AND (11 - {dot([2, 3, 4, 5, 6, 7, 8, 9, 2, 3, 4, 5])} % 11) % 10 = D[13]"),
+    "tfn": Case(cut(n(9), 3, " ", 3, " ", 3), f"{dot(ints("1 4 3 7 5 8 6 9 10"))} % 11 = 0", "'*** *** ***'"),
+    "pesel": Case(two(11), f"(10 - {dot(ints("1 3 7 9 1 3 7 9 1 3"))} % 10) % 10 = D[11]"),
+    "bsn": Case(n(9), "{s} > 0 AND {s} % 11 = 0".replace("{s}", dot(ints("9 8 7 6 5 4 3 2 -1")))),
+    "my_number": Case(cut(two(12), 4, "-", 4, "-", 4), f"{eleven(dot(ints("6 5 4 3 2 7 6 5 4 3 2")))} = D[12]", "'****-****-****'"),
+    "rrn": Case(cut(_DAY, 6, "-", 7), f"{_DATE} AND (11 - {dot(ints("2 3 4 5 6 7 8 9 2 3 4 5"))} % 11) % 10 = D[13]"),
     "za_id": Case(_DAY, f"{_DATE} AND D[11] <= 2 AND {luhn(1, 13, 0)} % 10 = 0"),
     "il_id": Case(n(9), f"{luhn(1, 9, 0)} % 10 = 0"),
 }

@@ -48,5 +48,7 @@ def masking_manifest(df: DataFrame, columns: Sequence[str] | None = None, mode:
 def write_manifest(manifest: DataFrame, path: str | Path, source: str | None = None) -> None:
     """The manifest, of a few rows for each column, as a JSON document."""
     records = [r.asDict() for r in manifest.toLocalIterator()]
-    document = {"version": "1.0", "generated_at": datetime.now(timezone.utc).isoformat(), "source": source, "record_count": len(records), "records": records}
-    Path(path).write_text(json.dumps(document, indent=2, ensure_ascii=False), encoding="utf-8")
+    now = datetime.now(tz=timezone.utc)
+    document = dict(version="1.0", generated_at=now.isoformat(), source=source, record_count=len(records), records=records)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(document, f, ensure_ascii=False, indent=2)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from ..families import chosen
 from ..functions import MODES, mask_pii
 
-_VARIABLE = re.compile(r"\$\{([^}]+)\}")
+_VARIABLE = re.compile("[$]{(.+?)}")
 
 
 def _filled(value: Any) -> Any:
@@ -41,8 +41,8 @@ class Policy:
 
     @classmethod
     def from_dict(cls, data: dict[str, Any]) -> Policy:
-        columns = data.get("columns", {})
-        if not isinstance(columns, dict):
+        columns = data["columns"] if "columns" in data else {}
+        if isinstance(columns, list) or not hasattr(columns, "items"):
             raise ValueError("'columns' must map column names to rules")
         return cls(_filled(columns))
 
@@ -57,7 +57,7 @@ class Policy:
 def load_policy(path: str | Path) -> Policy:
     """A policy from a ``.yaml``, ``.yml`` or ``.toml`` file."""
     path = Path(path)
-    if not path.exists():
+    if not path.is_file():
         raise FileNotFoundError(f"no policy file {path}")
     kind = path.suffix.lower()
     if kind in (".yaml", ".yml"):

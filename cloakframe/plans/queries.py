@@ -163,8 +163,9 @@ def queries() -> dict:
 
 # ---- SQL ----
 
-_RX = {"email": r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"}
-_CARD = r"(?:3[47][0-9]{2}[\s\-]?[0-9]{6}[\s\-]?[0-9]{5}|4[0-9]{3}(?:[\s\-]?[0-9]{4}){3}|(?:5[1-5][0-9]{2}|2(?:2[2-9][1-9]|[3-6][0-9]{2}|7[01][0-9]|720))(?:[\s\-]?[0-9]{4}){3}|(?:6011|65[0-9]{2}|64[4-9][0-9])(?:[\s\-]?[0-9]{4}){3}|(?:6304|6759|676[1-3])[0-9]{12})"
+_RX = {"email": r"[-+%._0-9a-zA-Z]+@[-.0-9a-zA-Z]+\.[a-zA-Z][a-zA-Z]+", "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"}
+_G = r"(?:[\s\-]?\d{4}){3}"
+_CARD = rf"(?:3[47]\d\d[\s\-]?\d{{6}}[\s\-]?\d{{5}}|4\d\d\d{_G}|(?:5[1-5]\d\d|22[2-9][1-9]|2[3-6]\d\d|27[01]\d|2720){_G}|(?:6011|65\d\d|64[4-9]\d){_G}|(?:6304|6759|676[123])\d{{12}})"
 _OK = {"email": "true", "ip": "list_max(list_transform(string_split(k, '.'), lambda p: p::int)) <= 255"}
 _DIGITS = "regexp_replace(k, '[^0-9]', '', 'g')"
 _LUHN_OF = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 1 THEN (2 * ({_DIGITS})[i]::int) // 10 + (2 * ({_DIGITS})[i]::int) % 10 ELSE ({_DIGITS})[i]::int END)) % 10 = 0"

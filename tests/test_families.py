@@ -11,15 +11,15 @@ from cloakframe.operators import kernel
 
 #: (family, valid token, masked token)
 GOLDEN = [
-    ("iban", "DE89370400440532013000", "DE89******************"),
-    ("iban", "DE89 3704 0044 0532 0130 00", "DE89 **** **** **** **** **"),
+    ("iban", "DE89370400440532013000", "DE89" + "*" * 18),
+    ("iban", "DE89 3704 0044 0532 0130 00", "DE89" + " ****" * 4 + " **"),
     ("iban", "LC55HEMM000100010012001200023015", "LC55" + "*" * 28),
     ("vat", "ATU12345678", "AT*********"),
     ("vat", "IE1A23456B", "IE********"),
     ("email", "jane.doe@example.co.uk", "********@example.co.uk"),
     ("ip", "192.168.10.20", "192.168.*.*"),
-    ("ip", "2001:db8::1", "2001:db8:0:0:****:****:****:****"),
-    ("ip", "::ffff:1.2.3.4", "0:0:0:0:****:****:****:****"),
+    ("ip", "2001:db8::1", "2001:db8:0:0" + ":****" * 4),
+    ("ip", "::ffff:1.2.3.4", "0:0:0:0" + ":****" * 4),
     ("curp", "BADD110313HCMLNS09", "*" * 18),
     ("dni", "12345678Z", "********Z"),
     ("nie", "X1234567L", "********L"),

@@ -21,7 +21,7 @@ def table(spark):
 
 
 def test_policy_rules(table):
-    got = Policy({"card": {"patterns": ["credit_card"]}, "notes": {"mode": "consistent", "salt": "s"}}).apply(table).collect()
+    got = Policy({"card": {"patterns": ["credit_card"]}, "notes": dict(mode="consistent", salt="s")}).apply(table).collect()
     assert got[0]["card"] == "411111******1111" and got[2]["card"] == "529.982.247-25" and got[0]["notes"].endswith("*@b.org")
     assert Policy({}).apply(table).columns == table.columns
     with pytest.raises(ValueError):
@@ -39,15 +39,16 @@ def test_policy_files(tmp_path, monkeypatch):
     (tmp_path / "b.toml").write_text('[columns.card]\nmode = "consistent"\nsalt = "${PEPPER}"\npatterns = ["credit_card"]\n')
     (tmp_path / "c.toml").write_text('[[columns]]\nname = "card"\nmode = "consistent"\nsalt = "${PEPPER}"\npatterns = ["credit_card"]\n')
     rules = [load_policy(tmp_path / n).rules for n in ("a.yaml", "b.toml", "c.toml")]
-    assert rules[0] == rules[1] == rules[2] == {"card": {"mode": "consistent", "salt": "hot", "patterns": ["credit_card"]}}
+    assert rules[0] == rules[1] == rules[2] == {"card": dict(mode="consistent", salt="hot", patterns=["credit_card"])}
     (tmp_path / "d.yml").write_text("columns:\n  card: {mode: consistent, salt: '${NOT_SET_ANYWHERE}'}\n")
     with pytest.raises(KeyError):
         load_policy(tmp_path / "d.yml")
     with pytest.raises(FileNotFoundError):
         load_policy(tmp_path / "none.yaml")
     (tmp_path / "e.ini").write_text("")
-    with pytest.raises(ValueError, match="unsupported"):
+    with pytest.raises(ValueError) as refused:
         load_policy(tmp_path / "e.ini")
+    assert "unsupported" in str(refused.value)
 
 
 def test_manifest(table, tmp_path):
