@@ -27,11 +27,13 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ROWS, each
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Distinct fragments that a worker remembers, and the longest it remembers, in bytes.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 LONGEST = 64
 
 _SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32]
@@ -112,10 +114,10 @@ def _shared(spark: SparkSession, vocabulary: str):
     return spark.sparkContext.broadcast(Codec(load_ranks(os.fspath(vocabulary))))
 
 
-def _lists(ids: list[list[int] | None]) -> pa.Array:
-    offsets = np.cumsum([0, *(len(x or ()) for x in ids)]).astype(np.int32)
-    values = pa.array(np.fromiter(chain.from_iterable(x for x in ids if x), np.int32, int(offsets[-1])))
-    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([x is None for x in ids]))
+def _lists(ids: list[np.ndarray | None]) -> pa.Array:
+    offsets = np.cumsum([0, *(0 if x is None else len(x) for x in ids)]).astype(np.int32)
+    values = np.concatenate([np.empty(0, np.int32), *(x for x in ids if x is not None)])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([x is None for x in ids]))
 
 
 def encoder(spark: SparkSession, vocabulary: str = VOCABULARY):
@@ -125,7 +127,7 @@ def encoder(spark: SparkSession, vocabulary: str = VOCABULARY):
     @F.arrow_udf("array<int>")
     def encode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for c in columns:
-            yield _lists([None if t is None else part.value.encode(t) for t in c.to_pylist()])
+            yield _lists([None if t is None else np.array(part.value.encode(t), np.int32) for t in each(c)])
 
     return encode
 
@@ -137,32 +139,30 @@ def decoder(spark: SparkSession, vocabulary: str = VOCABULARY):
     @F.arrow_udf("string")
     def decode(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for c in columns:
-            yield pa.array([None if i is None else part.value.decode(i) for i in c.to_pylist()], pa.string())
+            yield pa.array([None if i is None else part.value.decode(i) for i in each(c)], pa.string())
 
     return decode
 
 
-def _both_ways(spark: SparkSession, vocabulary: str):
-    part = _shared(spark, vocabulary)
-    kind = "struct<token_ids:array<int>,round_trip:boolean>"
-
-    @F.arrow_udf(kind)
-    def coded(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = part.value
-        for c in columns:
-            texts = c.to_pylist()
-            ids = [None if t is None else codec.encode(t) for t in texts]
-            same = [None if t is None else codec.decode(i) == t for t, i in zip(texts, ids)]
-            yield pa.StructArray.from_arrays([_lists(ids), pa.array(same, pa.bool_())], ["token_ids", "round_trip"])
-
-    return coded
-
-
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id``, ``token_ids``, ``n_tokens`` and ``round_trip`` (decoding the ids gave the text again)."""
-    coded = _both_ways(docs.sparkSession, vocabulary)
-    out = docs.select(F.col(id_col).alias("doc_id"), coded(text_col).alias("c"))
-    return out.select("doc_id", "c.token_ids", F.size("c.token_ids").alias("n_tokens"), "c.round_trip")
+    part = _shared(docs.sparkSession, vocabulary)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def coded(batches):
+        codec = part.value
+        for b in batches:
+            for k in range(0, b.num_rows, ROWS):
+                ids, same = [], []
+                for t in b.column(1).slice(k, ROWS).to_pylist():
+                    x = None if t is None else codec.encode(t)
+                    same.append(None if t is None else codec.decode(x) == t)
+                    ids.append(None if t is None else np.array(x, np.int32))
+                n = pa.array([None if x is None else len(x) for x in ids], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, ROWS), _lists(ids), n, pa.array(same, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(coded, f"doc_id {kind}, token_ids array<int>, n_tokens int, round_trip boolean")
 
 
 def with_tokens(docs: DataFrame, text_col: str = "text", ids_col: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:

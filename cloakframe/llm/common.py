@@ -87,6 +87,16 @@ def without_rows(df: DataFrame, rid: str, removed: DataFrame) -> DataFrame:
     return df.join(side, rid, "left_anti").drop(rid)
 
 
+#: Values of an Arrow batch that are turned into Python objects at a time.
+ROWS = 256
+
+
+def each(c: pa.Array) -> Iterator:
+    """The values of an array, a few as Python objects at a time."""
+    for k in range(0, len(c), ROWS):
+        yield from c.slice(k, ROWS).to_pylist()
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, filled on demand; ``trim`` between documents bounds its memory."""
 
@@ -94,7 +104,7 @@ class WordHashes(dict):
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
-    def trim(self, most: int = 300_000) -> None:
+    def trim(self, most: int = 150_000) -> None:
         if len(self) > most:
             self.clear()
 
