@@ -15,7 +15,7 @@ without labels of both classes nothing is rejected (the score is null); repeated
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -23,14 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import each
 from .labelled import MAX_TRAIN, sample, threshold
 
 BUCKETS = 1 << 17
 DIM = 8
-EPOCHS = 12
+EPOCHS = 30
 BATCH = 64
 RATE = 0.5
 GRAMS = range(3, 7)
+#: Standard errors between the classes' document rates of a bucket that is trained.
+TELLING = 3.5
 SEED = 11
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -46,30 +49,55 @@ def buckets(word: str) -> list[int]:
     return [crc32(g.encode()) & (BUCKETS - 1) for g in sorted(grams)]
 
 
+def _counts(text: str | None) -> dict[str, int]:
+    seen: dict[str, int] = {}
+    for w in words(text):
+        seen[w] = seen.get(w, 0) + 1
+    return seen
+
+
+def _telling(texts: list[str | None], y: np.ndarray) -> np.ndarray:
+    """Buckets that documents of the two classes have at rates ``TELLING`` standard errors apart. Others, mostly n-grams
+    of words that one document or all have, would only learn the sample by heart; their rows stay zero."""
+    n = np.array([(y == k).sum() for k in (0, 1)], float)
+    df, cache = np.zeros((2, BUCKETS)), {}
+    for t, k in zip(texts, y):
+        have = np.zeros(BUCKETS, bool)
+        for w in set(words(t)):
+            if w not in cache:
+                cache[w] = np.array(buckets(w), np.int32)
+            have[cache[w]] = True
+        df[k] += have
+        if len(cache) > 150_000:
+            cache.clear()
+    rate = df.sum(axis=0) / n.sum()
+    error = np.sqrt(rate * (1 - rate) * (1 / np.maximum(n, 1)).sum())
+    return np.abs(df[1] / max(n[1], 1) - df[0] / max(n[0], 1)) > TELLING * np.maximum(error, 1e-9)
+
+
 class _Rows:
-    """Documents as sparse rows: the weight of each bucket in the mean over words."""
+    """Documents as sparse rows: the weight of each kept bucket in the mean over words."""
 
-    def __init__(self, texts: list[str | None]) -> None:
-        cache: dict[str, np.ndarray] = {}
-        cols, vals = [], []
+    def __init__(self, texts: list[str | None], kept: np.ndarray) -> None:
+        cache: dict[str, tuple[np.ndarray, int]] = {}
+        self.cols, self.vals = [], []
         for t in texts:
-            seen: dict[str, int] = {}
-            for w in words(t):
-                seen[w] = seen.get(w, 0) + 1
-            c, v = [], []
+            seen = _counts(t)
             total = sum(seen.values())
+            c, v = [np.empty(0, np.int32)], [np.empty(0)]
             for w, k in seen.items():
                 if w not in cache:
-                    cache[w] = np.array(buckets(w), np.int64)
-                b = cache[w]
-                c.append(b)
-                v.append(np.full(len(b), k / (total * len(b))))
-            c = np.concatenate(c) if c else np.empty(0, np.int64)
-            v = np.concatenate(v) if v else np.empty(0)
-            ids, at = np.unique(c, return_inverse=True)
-            cols.append(ids)
-            vals.append(np.bincount(at, v, len(ids)).astype(np.float32))
-        self.cols, self.vals = cols, vals
+                    b = np.array(buckets(w), np.int32)
+                    cache[w] = b[kept[b]], len(b)
+                b, of = cache[w]
+                if len(b):
+                    c.append(b)
+                    v.append(np.full(len(b), k / (total * of)))
+            ids, at = np.unique(np.concatenate(c), return_inverse=True)
+            self.cols.append(ids)
+            self.vals.append(np.bincount(at, np.concatenate(v), len(ids)).astype(np.float32))
+            if len(cache) > 150_000:
+                cache.clear()
 
     def batch(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cols = [self.cols[i] for i in which]
@@ -85,8 +113,9 @@ def _pooled(table: np.ndarray, doc: np.ndarray, col: np.ndarray, val: np.ndarray
 def fit(texts: list[str | None], y: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embeddings, softmax weights and biases, trained together on equally weighted classes."""
     rng = np.random.default_rng(SEED)
-    rows = _Rows(texts)
-    table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
+    kept = _telling(texts, y)
+    rows = _Rows(texts, kept)
+    table = np.where(kept[:, None], rng.normal(0, 0.1, (BUCKETS, DIM)), 0).astype(np.float32)
     soft, bias = rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
     g_table, g_soft, g_bias = np.full(BUCKETS, 1e-8), np.full((DIM, 2), 1e-8), np.full(2, 1e-8)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
@@ -133,13 +162,13 @@ class Model:
     def _collapsed(cls, table: np.ndarray, soft: np.ndarray, bias: np.ndarray) -> Model:
         return cls((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), 0.0)
 
-    def margins(self, texts: list[str | None], cache: dict[str, float] | None = None) -> list[float]:
+    def margins(self, texts: Iterable[str | None], cache: dict[str, float] | None = None) -> list[float]:
         cache = _Margins(self.margin) if cache is None else cache
         out = []
         for t in texts:
             w = words(t)
             out.append(self.bias + (sum(map(cache.__getitem__, w)) / len(w) if w else 0.0))
-            if len(cache) > 300_000:
+            if len(cache) > 150_000:
                 cache.clear()
         return out
 
@@ -171,7 +200,7 @@ def _scorer(spark, model: Model):
     def margin(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = _Margins(part.value.margin)
         for c in columns:
-            yield pa.array(part.value.margins(c.to_pylist(), cache), pa.float64())
+            yield pa.array(part.value.margins(each(c), cache), pa.float64())
 
     return margin
 
@@ -183,7 +212,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("double").alias("toxicity"), F.lit(False).alias("is_toxic"))
     margin = _scorer(docs.sparkSession, model)(text_col)
     p = 1 / (1 + F.exp(F.lit(model.cut) - F.col("m")))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), margin.alias("m")).select("doc_id", p.alias("toxicity"), ((F.col("m") > model.cut) & F.col("t").rlike("(?U)\\p{IsAlphabetic}")).alias("is_toxic"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"), margin.alias("m")).select("doc_id", p.alias("toxicity"), F.coalesce((F.col("m") > model.cut) & F.col("t").rlike("(?U)\\p{IsAlphabetic}"), F.lit(False)).alias("is_toxic"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, model: Model | None = None) -> DataFrame:
