@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, shingles
+from .common import ROWS, WordHashes, shingles
 
 NGRAM = 5
 THRESHOLD = 0.5
@@ -95,8 +95,13 @@ class Index:
                 per.append((low[order], who[order], seen))
             self.classes.append((u, per))
 
-    def search(self, texts: list[str | None], cache: WordHashes) -> Iterator[tuple[int, int, float]]:
-        """(place in texts, item, containment) of every match."""
+    def search(self, column: pa.Array, cache: WordHashes) -> Iterator[tuple[int, int, float]]:
+        """(place in the column, item, containment) of every match."""
+        for k in range(0, len(column), ROWS):
+            for d, i, c in self._found(column.slice(k, ROWS).to_pylist(), cache):
+                yield k + d, i, c
+
+    def _found(self, texts: list[str | None], cache: WordHashes) -> Iterator[tuple[int, int, float]]:
         held: list[np.ndarray] = []
         first = size = 0
         for k, text in enumerate(texts):
@@ -191,7 +196,7 @@ def contaminated(
         def find(batches, part=part):
             index, cache = part.value, WordHashes()
             for b in batches:
-                found = list(index.search(b.column(1).to_pylist(), cache))
+                found = list(index.search(b.column(1), cache))
                 d, i, c = zip(*found) if found else ((), (), ())
                 ids = [index.ids[k] for k in i]
                 yield pa.RecordBatch.from_arrays([pa.array(ids) if ids else pa.nulls(0), b.column(0).take(pa.array(d, pa.int32())), pa.array(c, pa.float64())], ["item_id", "doc_id", "containment"])
@@ -225,7 +230,7 @@ def _dirty(part):
         cache = WordHashes()
         for c in columns:
             mask = np.zeros(len(c), bool)
-            mask[[d for d, _, _ in part.value.search(c.to_pylist(), cache)]] = True
+            mask[[d for d, _, _ in part.value.search(c, cache)]] = True
             yield pa.array(mask)
 
     return dirty

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop_tables, groups, shingles, small_enough, with_row_id, without_rows, write_table
+from .common import WordHashes, drop_tables, each, groups, shingles, small_enough, with_row_id, without_rows, write_table
 
 NGRAM = 3
 THRESHOLD = 0.5
@@ -81,7 +81,7 @@ def _sketch(n: int):
         cache = WordHashes()
         for b in batches:
             rid, fp, sig = [], [], []
-            for r, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for r, text in zip(b.column(0).to_pylist(), each(b.column(1))):
                 s = shingles(text, n, cache)
                 if len(s):
                     s = np.unique(s)
@@ -225,7 +225,7 @@ def _verify(n: int, threshold: float):
         cache, sets, now = WordHashes(), {}, None
         for b in batches:
             out = []
-            for block, a, c, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for block, a, c, text in zip(*(each(b.column(i)) for i in range(4))):
                 if block != now:
                     sets, now = {}, block
                 if c is None:

@@ -15,7 +15,7 @@ null and nothing counts as low; repeated rows score alike; extra columns aren't
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import each
 from .labelled import MAX_TRAIN, sample, threshold
 
 BUCKETS = 1 << 16
@@ -75,7 +76,7 @@ def features(text: str | None, meta: tuple, cache: _Buckets) -> tuple[np.ndarray
     """Columns and values of a document; columns from BUCKETS on are statistics, then metadata among the buckets."""
     text = text or ""
     words = _WORD.findall(text.lower())
-    if len(cache) > 300_000:
+    if len(cache) > 150_000:
         cache.clear()
     if words:
         cols, counts = np.unique(np.fromiter(map(cache.__getitem__, words), np.int32, len(words)), return_counts=True)
@@ -98,7 +99,7 @@ class Machine:
         pooled = val @ self.v[col]
         return float(self.bias + self.w[col] @ val + 0.5 * (pooled @ pooled - self.v2[col] @ (val * val)))
 
-    def scores(self, texts: list[str | None], metas: list[tuple], cache: _Buckets | None = None) -> list[float]:
+    def scores(self, texts: Iterable[str | None], metas: Iterable[tuple], cache: _Buckets | None = None) -> list[float]:
         cache = _Buckets() if cache is None else cache
         return [self.score(*features(t, m, cache)) for t, m in zip(texts, metas)]
 
@@ -165,7 +166,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def margin(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         cache = _Buckets()
         for text, *meta in columns:
-            yield pa.array(part.value.scores(text.to_pylist(), list(zip(*(m.to_pylist() for m in meta))), cache), pa.float64())
+            yield pa.array(part.value.scores(each(text), zip(*map(each, meta)), cache), pa.float64())
 
     rows = _with_metadata(docs).select(F.col(id_col).alias("doc_id"), margin(text_col, *(F.col(c).cast("string") for c in METADATA)).alias("m"))
     return rows.select("doc_id", (1 / (1 + F.exp(F.lit(model.cut) - F.col("m")))).alias("quality"), (F.col("m") < model.cut).alias("is_low"))
