@@ -1,7 +1,7 @@
 """Exact deduplication by deterministic block naming.
 
 Each text is cut into blocks of ``block_chars`` characters. Equal blocks meet in one partition,
-where they are sorted; a distinct block's name is the integer of its partition and rank. Then
+where the distinct ones are sorted; a block's name is the integer of its partition and rank. Then
 adjacent names of a document form pairs, equal pairs get a new name in the same way, and so on,
 half as many each time, until one integer is left: the document's identity. Names come from
 comparing whole blocks and whole pairs, so two documents share an identity only if their
@@ -31,6 +31,7 @@ def _named(rows: DataFrame, content: list[str], level: int) -> DataFrame:
     return (
         rows.groupBy(*content)
         .agg(F.collect_list(F.struct("rid", "pos")).alias("at"))
+        .sortWithinPartitions(*content)
         .select(name.alias("name"), "at")
         .select("name", F.explode("at").alias("at"))
         .select("at.rid", "at.pos", "name")
