@@ -2,8 +2,8 @@
 
 Markup is stripped to lines of text: tags that set text apart break the line, those that hold whole
 sections leave ``BLOCK`` empty lines, all others vanish. The block of line i is the text length of
-the ``BLOCK`` lines from i on. Over the blocks the text of a page stands out as a plateau: it starts at
-a surge point, a block above ``SURGE`` that isn't followed by an empty one, and ends at the next dive point,
+the ``BLOCK`` lines from i on. Over the blocks the text of a page stands out as a plateau: it has a surge
+point, a block above ``SURGE``, begins with the text that leads up to it, and ends at the next dive point,
 where a block is empty. The text between each surge and its dive is kept, the rest is dropped. A page
 whose blocks all stay under ``SURGE`` has its surge at its largest block.
 
@@ -53,21 +53,17 @@ def regions(sizes: list[int], block: int = BLOCK, surge: int = SURGE) -> list[tu
     surge = min(surge, most - 1)
     found, i = [], 0
     while i < n:
-        if blocks[i] > surge and (i + 1 == n or blocks[i + 1]):
-            start = i
-            # The surge is seen up to block - 1 lines ahead; text that runs up to it belongs to it.
-            while start and blocks[start - 1]:
-                start -= 1
-            end = i
-            while end < n and blocks[end]:
-                end += 1
-            found.append((start, end))
-            i = end
-        elif blocks[i] > surge:  # the last line before a dive
-            found.append((i, i + 1))
-            i += 1
-        else:
+        if blocks[i] <= surge:
             i += 1
+            continue
+        start = end = i
+        # A surge is seen up to block - 1 lines ahead; text that runs up to it belongs to it.
+        while start and blocks[start - 1]:
+            start -= 1
+        while end < n and blocks[end]:
+            end += 1
+        found.append((start, end))
+        i = end
     return found
 
 
