@@ -35,6 +35,8 @@ GRAMS = range(3, 7)
 #: Standard errors between the classes' document rates of a bucket that is trained.
 TELLING = 3.5
 SEED = 11
+#: Words whose margin a worker remembers.
+REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -44,9 +46,17 @@ def words(text: str | None) -> list[str]:
 
 
 def buckets(word: str) -> list[int]:
+    """Buckets of the distinct n-grams of a word. A word in Latin letters is cut as bytes, once for all its n-grams."""
     w = f"<{word}>"
-    grams = {w} | {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
-    return [crc32(g.encode()) & (BUCKETS - 1) for g in sorted(grams)]
+    n = len(w)
+    try:
+        b = w.encode("latin-1")
+    except UnicodeEncodeError:
+        grams = [w[i : i + k].encode() for k in GRAMS for i in range(n - k + 1)] + [w.encode()]
+    else:
+        grams = [b[i : i + k] for k in GRAMS for i in range(n - k + 1)]
+        grams.append(b)
+    return [crc32(g) & (BUCKETS - 1) for g in dict.fromkeys(grams)]
 
 
 def _counts(text: str | None) -> dict[str, int]:
@@ -149,6 +159,7 @@ class Model:
 
     def __init__(self, margin: np.ndarray, bias: float, cut: float) -> None:
         self.margin, self.bias, self.cut = margin, bias, cut
+        self._met: _Margins | None = None
 
     @classmethod
     def train(cls, texts: list[str | None], y: np.ndarray, share: float) -> Model:
@@ -162,25 +173,38 @@ class Model:
     def _collapsed(cls, table: np.ndarray, soft: np.ndarray, bias: np.ndarray) -> Model:
         return cls((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]), 0.0)
 
+    def remembered(self) -> _Margins:
+        """The words' margins that this process has met, kept from one task to the next."""
+        if self._met is None:
+            self._met = _Margins(self.margin)
+        return self._met
+
+    def __reduce__(self):
+        return Model, (self.margin, self.bias, self.cut)
+
     def margins(self, texts: Iterable[str | None], cache: dict[str, float] | None = None) -> list[float]:
         cache = _Margins(self.margin) if cache is None else cache
         out = []
         for t in texts:
             w = words(t)
             out.append(self.bias + (sum(map(cache.__getitem__, w)) / len(w) if w else 0.0))
-            if len(cache) > 150_000:
+            if len(cache) > REMEMBERED:
                 cache.clear()
         return out
 
 
 class _Margins(dict):
+    """word -> margin. Most buckets have none, so those that do are kept as a mapping."""
+
     def __init__(self, margin: np.ndarray) -> None:
         super().__init__()
-        self.margin = margin
+        told = np.flatnonzero(margin)
+        self.margin = dict(zip(told.tolist(), margin[told].astype(float).tolist()))
 
     def __missing__(self, word: str) -> float:
         b = buckets(word)
-        m = self[word] = float(self.margin[b].sum()) / len(b)
+        get = self.margin.get
+        m = self[word] = sum([get(x, 0.0) for x in b]) / len(b)
         return m
 
 
@@ -198,7 +222,7 @@ def _scorer(spark, model: Model):
 
     @F.arrow_udf("double")
     def margin(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = _Margins(part.value.margin)
+        cache = part.value.remembered()
         for c in columns:
             yield pa.array(part.value.margins(each(c), cache), pa.float64())
 
