@@ -8,10 +8,11 @@ bounded sample of documents (``MAX_TRAIN``). A temperature fitted on held-out va
 the probabilities; a family under ``CONFIDENT`` is unknown. The family then is compared with its own templates:
 it is confirmed if ``COVERED`` of the word pairs of one of them occur in the window.
 
-Only paragraphs with an anchor, a word that every template has one of, can be confirmed, so
-only they are classified, and only texts with an anchor are sent to the classifier.
+All paragraphs are looked at. Those are licence-like, and classified, that have an anchor (words of rights and of licence
+names), or enough word pairs of a template to be confirmed. A letter v before a number is a word of its own: ``GPLv3``
+is "gpl v 3".
 
-Defined cases: null and empty texts and texts without an anchor have no rows; the overlapping
+Defined cases: null and empty texts and texts that aren't licence-like have no rows; the overlapping
 windows of a paragraph give one row a family, that of the highest probability, the first on ties; what is licence-like but of
 no family is a row of family ``unknown``; repeated rows give rows each; other columns aren't looked at.
 """
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import each
+
 WINDOW = 60
 CONFIDENT = 0.6
 COVERED = 0.6
@@ -42,45 +45,68 @@ TEMPLATES = {
         "licensed under the MIT license",
         "permission is hereby granted, free of charge, to any person obtaining a copy",
         "SPDX-License-Identifier: MIT",
+        "SPDX: MIT",
     ],
     "Apache-2.0": [
         "licensed under the Apache License, Version 2.0",
         "you may obtain a copy of the License at apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "SPDX: Apache-2.0",
     ],
     "GPL-3.0": [
         "this work is licensed under the GNU General Public License, version 3",
         "under the terms of the GNU General Public License version 3",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GPLv3",
+        "GPL version 3",
+        "GPL-3.0",
     ],
     "GPL-2.0": [
         "under the terms of the GNU General Public License, version 2",
         "licensed under GPL version 2",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "GPLv2",
+        "GPL version 2",
+        "GPL-2.0",
     ],
     "LGPL": [
         "under the terms of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "LGPLv2.1",
+        "LGPLv3",
+        "LGPL-2.1",
+        "LGPL-3.0",
     ],
     "AGPL-3.0": [
         "licensed under the GNU Affero General Public License, version 3",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "AGPLv3",
+        "AGPL-3.0",
     ],
     "BSD": [
         "redistribution and use in source and binary forms, with or without modification, are permitted",
         "released under the BSD license",
         "use of this source code is governed by a BSD-style license",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX: BSD-3-Clause",
+        "SPDX: BSD-2-Clause",
     ],
     "ISC": [
         "licensed under the ISC license",
         "permission to use, copy, modify, and/or distribute this software for any purpose",
+        "SPDX-License-Identifier: ISC",
+        "SPDX: ISC",
     ],
     "MPL-2.0": [
         "subject to the terms of the Mozilla Public License, v. 2.0",
         "SPDX-License-Identifier: MPL-2.0",
+        "SPDX: MPL-2.0",
+    ],
+    "EPL": [
+        "made available under the terms of the Eclipse Public License",
+        "SPDX-License-Identifier: EPL-2.0",
+        "SPDX: EPL-2.0",
     ],
-    "EPL": ["made available under the terms of the Eclipse Public License"],
     "CC-BY": [
         "licensed under CC BY 4.0",
         "this work is licensed under a Creative Commons Attribution 4.0 International License",
@@ -96,9 +122,14 @@ TEMPLATES = {
     "CC0": [
         "dedicated to the public domain under the CC0 license",
         "CC0 1.0 Universal public domain dedication, no rights reserved by copyright law",
+        "SPDX: CC0-1.0",
+    ],
+    "Unlicense": [
+        "free and unencumbered software released into the public domain, see unlicense.org license",
+        "SPDX: Unlicense",
     ],
-    "Unlicense": ["free and unencumbered software released into the public domain, see unlicense.org license"],
     "Proprietary": [
+        "all rights reserved",
         "all rights reserved, no part may be copied without written permission",
         "proprietary and confidential, unauthorized copying is prohibited, copyright owner",
     ],
@@ -120,15 +151,21 @@ NOT_GRANTS = [
     "this license key is valid for one computer",
     "under the license of a poet",
     "the general public was informed of the new version",
+    "some rights reserved",
+    "the unauthorized copying of keys was reported",
 ]
 
-ANCHOR = re.compile(r"(?i)licen[cs]|copyright|permission|permitted|redistribut|unlicense|public domain")
+ANCHOR = re.compile(
+    r"(?i)licen[cs]|copyright|permission|permitted|redistribut|rights[\W_]+reserved|public[\W_]+domain|gpl|spdx|creative[\W_]+commons|"
+    r"(?<![a-z0-9])cc(?:0|[\W_]+(?:by|0|zero)(?![a-z0-9]))"
+)
 
 _WORD = re.compile(r"[^\W_]+")
+_VERSION = re.compile(r"(gpl|\b)v(?=[0-9])")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(_VERSION.sub(r"\1 v ", text.lower()))
 
 
 def _grams(w: list[str], most: int = 3) -> Iterable[str]:
@@ -145,6 +182,7 @@ class Model:
     def __init__(self, classes: list[str], vocabulary: dict[str, int], weights: np.ndarray, bias: np.ndarray, temperature: float) -> None:
         self.classes, self.vocabulary, self.weights, self.bias, self.temperature = classes, vocabulary, weights, bias, temperature
         self.templates = {k: [_pairs(words(t)) for t in v] for k, v in TEMPLATES.items()}
+        self.pairs = frozenset(p for ts in self.templates.values() for t in ts for p in t)
 
     def probabilities(self, w: list[str]) -> np.ndarray:
         ids = [i for i in {self.vocabulary.get(g, -1) for g in _grams(w)} if i >= 0]
@@ -157,6 +195,13 @@ class Model:
         mine = _pairs(w)
         return max(len(t & mine) / len(t) for t in self.templates[family])
 
+    def licence_like(self, text: str, w: list[str]) -> bool:
+        """Whether ``text``, of the words ``w``, has an anchor or can be confirmed."""
+        if ANCHOR.search(text):
+            return True
+        mine = self.pairs.intersection(zip(w, w[1:]))
+        return bool(mine) and any(len(t & mine) >= COVERED * len(t) for ts in self.templates.values() for t in ts)
+
     def paragraph(self, text: str) -> list[tuple[str, float, float, bool]]:
         """(family, probability, similarity, confirmed) of the families of a paragraph."""
         w = words(text)
@@ -164,7 +209,7 @@ class Model:
         starts = range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2)
         for s in starts:
             part = w[s : s + WINDOW]
-            if not ANCHOR.search(" ".join(part)):
+            if not self.licence_like(" ".join(part), part):
                 continue
             p = self.probabilities(part)
             k = int(p.argmax())
@@ -263,17 +308,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     model = model or train(docs, id_col, text_col)
     part = docs.sparkSession.sparkContext.broadcast(model)  # the templates' n-grams, whatever the corpus
     kind = docs.schema[id_col].dataType.simpleString()
-    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").rlike(ANCHOR.pattern))
+    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:
             at, rows = [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
+            for k, text in enumerate(each(b.column(1))):
+                if not text or not part.value.licence_like(text, words(text)):
+                    continue
                 for number, p in enumerate(text.split("\n")):
-                    if ANCHOR.search(p):
-                        found = part.value.paragraph(p)
-                        at += [k] * len(found)
-                        rows += [(number, *f) for f in found]
+                    found = part.value.paragraph(p)
+                    at += [k] * len(found)
+                    rows += [(number, *f) for f in found]
             number, family, prob, near, sure = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at, pa.int32())), pa.array(number, pa.int32()), pa.array(family, pa.string()), pa.array(prob, pa.float64()), pa.array(near, pa.float64()), pa.array(sure, pa.bool_())],

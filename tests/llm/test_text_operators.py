@@ -177,6 +177,37 @@ def test_licence_unknown(licences, text):
     assert not any(sure for _, _, _, sure in licences.paragraph(text))
 
 
+@pytest.mark.parametrize(
+    "text,family",
+    [
+        ("All rights reserved.", "Proprietary"),
+        ("(c) 2020 A. Author. ALL RIGHTS\u00a0RESERVED", "Proprietary"),
+        ("This file is GPLv3.", "GPL-3.0"),
+        ("GPL v2 or later", "GPL-2.0"),
+        ("LGPLv2.1", "LGPL"),
+        ("AGPL-3.0", "AGPL-3.0"),
+        ("SPDX: MIT", "MIT"),
+        ("SPDX: Apache-2.0", "Apache-2.0"),
+        ("Text and images: CC BY-SA 4.0", "CC-BY-SA"),
+    ],
+)
+def test_licence_without_the_word(licences, text, family):
+    assert [(f, sure) for f, _, _, sure in licences.paragraph(text)] == [(family, True)]
+
+
+def test_no_template_needs_an_anchor(licences):
+    """What is left of a template without its anchors' words is looked at wherever it can be confirmed."""
+    for text in ["This project is released under the MIT", "is hereby granted, free of charge, to any person obtaining a copy"]:
+        assert not license_scan.ANCHOR.search(text)
+        assert [(f, sure) for f, _, _, sure in licences.paragraph(text)] == [("MIT", True)]
+
+
+def test_rights_statements_have_rows(spark, licences):
+    docs = spark.createDataFrame([(1, "Some words.\nAll rights reserved.\n"), (2, "Some words.\nGPLv3\n"), (3, "Some words.\nReleased under the MIT."), (4, "Some words.")], "doc_id long, text string")
+    got = license_scan.scan(docs, model=licences).collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"], r["confirmed"]) for r in got) == [(1, 1, "Proprietary", True), (2, 1, "GPL-3.0", True), (3, 1, "MIT", True)]
+
+
 def test_licence_in_a_long_paragraph(licences):
     text = "stone river walks and it " * 40 + "Licensed under the Apache License, Version 2.0. " + "the river of stone " * 40
     assert [(f, sure) for f, _, _, sure in licences.paragraph(text)] == [("Apache-2.0", True)]
