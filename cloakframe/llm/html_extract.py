@@ -1,7 +1,8 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines of text: tags that set text apart break the line, those that hold whole
-sections leave ``BLOCK`` empty lines, all others vanish. The block of line i is the text length of
+Markup is stripped to lines of text: tags that set text apart break the line, with white space and one another, and
+leave one empty line at most, so that blocks run across lists, tables and nested sections; the tags of the parts of a
+page (``_PART``) leave ``BLOCK`` empty lines, all others vanish. The block of line i is the text length of
 the ``BLOCK`` lines from i on. Over the blocks the text of a page stands out as a plateau: it has a surge
 point, a block above ``SURGE``, begins with the text that leads up to it, and ends at the next dive point,
 where a block is empty. The text between each surge and its dive is kept, the rest is dropped. A page
@@ -29,17 +30,23 @@ SURGE = 120
 
 _HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg|iframe|select|textarea)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAIL = r"(?=[\s/>])(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+>"
-_SECTION = re.compile(r"</?(?:article|aside|body|dialog|div|dl|fieldset|figure|footer|form|header|html|main|menu|nav|ol|section|table|ul)" + _TAIL, re.I)
-_BREAK = re.compile(r"</?(?:address|blockquote|br|caption|center|dd|details|dt|figcaption|h[1-6]|hr|legend|li|option|p|pre|summary|tbody|td|tfoot|th|thead|title|tr)" + _TAIL, re.I)
+_PART = re.compile(r"</?(?:article|aside|body|dialog|footer|html|main|nav)" + _TAIL, re.I)
+_BREAK = re.compile(
+    r"</?(?:address|blockquote|br|caption|center|dd|details|div|dl|dt|fieldset|figcaption|figure|form|h[1-6]|header|hr|legend|li|menu|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)" + _TAIL, re.I
+)
 _TAG = re.compile(r"<[/!?a-z](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+>", re.I)
 _SPACE = re.compile(r"[^\S\n]+")
+#: Stand for the tags of parts and breaks; both are white space and in no page.
+_PARTED, _BROKEN = "\x1d", "\x1e"
+_MARKS = re.compile(r"(?<!\s)[^\S\x1d\x1e]*+[\x1d\x1e]\s*")
 
 
 def lines(page: str, block: int = BLOCK) -> list[str]:
-    page = _HIDDEN.sub("\n", page.replace("\r\n", "\n").replace("\r", "\n"))
-    page = _SECTION.sub("\n" * (block + 1), page)
-    page = _TAG.sub("", _BREAK.sub("\n", page))
-    return [s.strip() for s in _SPACE.sub(" ", entities.unescape(page)).split("\n")]
+    page = page.replace("\r\n", "\n").replace("\r", "\n").replace(_PARTED, " ").replace(_BROKEN, " ")
+    page = _BREAK.sub(_BROKEN, _PART.sub(_PARTED, _HIDDEN.sub("\n", page)))
+    gap = lambda m: "\n" * (block + 1 if _PARTED in m[0] else min(2, m[0].count(_BROKEN)))
+    page = _MARKS.sub(gap, entities.unescape(_TAG.sub("", page)))
+    return [s.strip() for s in _SPACE.sub(" ", page).split("\n")]
 
 
 def regions(sizes: list[int], block: int = BLOCK, surge: int = SURGE) -> list[tuple[int, int]]:

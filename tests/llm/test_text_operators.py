@@ -139,6 +139,27 @@ def test_html_against_article_tags(spark, sf_dir):
     assert sum(s >= 0.95 for s in shares) >= 0.95 * len(shares)
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<header><h1>W0 w.</h1></header><p>LONG</p><ul>\n<li>W1 w.</li>\n\n\n\n<li>W2 w.</li>\n</ul><p>W3 w.</p>",
+        "<p>LONG</p><table><thead><tr><th>W0</th><th>W1</th></tr></thead><tbody><tr><td>W2</td><td></td><td>&nbsp;</td></tr>\n<tr><td>W3</td></tr></tbody></table>",
+        "<p>LONG</p>" + "".join(f"<div class='x'><div>\n  <p>W{i} w.</p>\n</div></div>\n" for i in range(4)),
+        "".join(f"<div><p>W{i} " + "word " * 15 + "</p></div>\n\n" for i in range(4)),
+        "<section><h2>W0</h2><p>LONG</p></section><section><h2>W1</h2><ol><li>W2</ol><dl><dt>W3<dd>w</dl></section>",
+    ],
+)
+def test_html_keeps_short_pieces_of_an_article(inner):
+    inner = inner.replace("LONG", "All the words of a long paragraph, which stand for an article. " * 5)
+    text = html_extract.text_of(f"<html><body><nav><ul><li>Home</li></ul></nav><div>Ad</div><article>{inner}</article><footer>Imprint</footer></body></html>")
+    assert all(f"W{i}" in text for i in range(4)), text
+    assert not any(w in text for w in ("Home", "Ad", "Imprint"))
+
+
+def test_html_long_white_space():
+    assert html_extract.text_of(" " * 300_000 + "<p>x</p>" + "\n" * 300_000 + "y") == "x\ny"
+
+
 def test_html_rows(odd):
     pages = odd.select(F.col("doc_id").alias("page_id"), F.col("text").alias("html"), "text")
     got = html_extract.extract(pages).collect()
