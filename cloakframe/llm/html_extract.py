@@ -9,7 +9,8 @@ where a block is empty. The text between each surge and its dive is kept, the re
 whose blocks all stay under ``SURGE`` has its surge at its largest block.
 
 Defined cases: a null page gives null, a page without text the empty string; pages without markup
-are lines of text like others; what an unclosed comment, script or style holds is dropped; repeated
+are lines of text like others; what an unclosed comment, script or style holds is dropped, other
+unclosed elements and self-closed ones hide nothing; an unclosed head ends before the first text or tag that isn't a head's; repeated
 rows give the same; lengths count characters without white space; other columns aren't looked at.
 """
 
@@ -28,22 +29,47 @@ BLOCK = 3
 #: Characters: about one and a half lines of prose in an alphabetic script.
 SURGE = 120
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|head|svg|iframe|select|textarea)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAIL = r"(?=[\s/>])(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+>"
+_INSIDE = r"(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+"
+_TAIL = rf"(?=[\s/>]){_INSIDE}>"
+#: What is inside isn't text: comments, script and style to the page's end if they have none, others if they are closed.
+_OPENS = re.compile(rf"<!--|<(script|style|noscript|template|svg|iframe|select|textarea)(?:\Z|(?=[\s/>])(?:{_INSIDE}>)?)", re.I)
+_ENDS = {k: re.compile(rf"</{k}\s*>", re.I) for k in ("script", "style", "noscript", "template", "svg", "iframe", "select", "textarea")} | {"": re.compile("-->")}
+_TO_THE_END = {"", "script", "style"}
 _PART = re.compile(r"</?(?:article|aside|body|dialog|footer|html|main|nav)" + _TAIL, re.I)
+_FLOW = "a|address|article|aside|b|blockquote|center|dialog|div|dl|fieldset|figure|font|footer|form|h[1-6]|header|hr|i|img|main|menu|nav|ol|p|pre|section|span|table|ul"
 _BREAK = re.compile(
     r"</?(?:address|blockquote|br|caption|center|dd|details|div|dl|dt|fieldset|figcaption|figure|form|h[1-6]|header|hr|legend|li|menu|ol|option|p|pre|section|summary|table|tbody|td|tfoot|th|thead|title|tr|ul)" + _TAIL, re.I
 )
 _TAG = re.compile(r"<[/!?a-z](?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+'|[\"'])*+>", re.I)
+#: Up to </head>, or else the elements that only a head has.
+_HEAD = re.compile(
+    rf"<head{_TAIL}(?:(?:[^<]++|<(?!/?(?:head|body|{_FLOW})[\s/>]))*+</head\s*>|(?:\s++|<title{_TAIL}(?:[^<]++|<(?!/?[a-z]))*+</title\s*>|<(?:base|link|meta){_TAIL})*+)", re.I
+)
 _SPACE = re.compile(r"[^\S\n]+")
 #: Stand for the tags of parts and breaks; both are white space and in no page.
 _PARTED, _BROKEN = "\x1d", "\x1e"
 _MARKS = re.compile(r"(?<!\s)[^\S\x1d\x1e]*+[\x1d\x1e]\s*")
 
 
+def shown(page: str) -> str:
+    """A page without comments, scripts, its head and other elements whose content isn't text."""
+    kept, at, seek, unclosed = [], 0, 0, set()
+    while m := _OPENS.search(page, seek):
+        name, seek = (m[1] or "").lower(), m.end()
+        if name and (name in unclosed or m[0].endswith("/>")):
+            continue
+        end = _ENDS[name].search(page, seek)
+        if not end and name not in _TO_THE_END:
+            unclosed.add(name)  # nor is any later one
+            continue
+        kept += [page[at : m.start()], "\n"]
+        at = seek = end.end() if end else len(page)
+    return _HEAD.sub("\n", "".join([*kept, page[at:]]))
+
+
 def lines(page: str, block: int = BLOCK) -> list[str]:
     page = page.replace("\r\n", "\n").replace("\r", "\n").replace(_PARTED, " ").replace(_BROKEN, " ")
-    page = _BREAK.sub(_BROKEN, _PART.sub(_PARTED, _HIDDEN.sub("\n", page)))
+    page = _BREAK.sub(_BROKEN, _PART.sub(_PARTED, shown(page)))
     gap = lambda m: "\n" * (block + 1 if _PARTED in m[0] else min(2, m[0].count(_BROKEN)))
     page = _MARKS.sub(gap, entities.unescape(_TAG.sub("", page)))
     return [s.strip() for s in _SPACE.sub(" ", page).split("\n")]

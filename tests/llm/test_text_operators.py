@@ -156,6 +156,32 @@ def test_html_keeps_short_pieces_of_an_article(inner):
     assert not any(w in text for w in ("Home", "Ad", "Imprint"))
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><p>Words", "Words"),
+        ("<head><title>T</title><script>a='<p>'</script><style>p{}</style><link rel=x><p>Words</p>", "Words"),
+        ("<head><title>T</title>Words", "Words"),
+        ("<head><title>A < B</title><x-y>z</x-y></head>Words", "Words"),
+        ("<HEAD profile='a>b'><title>T</title></HEAD>Words", "Words"),
+        ("<p>One</p><svg width='1'/><p>two</p><svg><text>no</text></svg><p>three</p>", "One\ntwo\nthree"),
+        ("One <iframe src='x' /> two", "One two"),
+        ("One <select><option>two", "One\ntwo"),
+        ("<head-banner>One</head-banner> <select-all>two</select-all>", "One two"),
+        ("<header>One</header><template-x>two</template-x>", "One\ntwo"),
+        ("One <textarea>no</textarea> two", "One\ntwo"),
+        ("One <style>never", "One"),
+        ("One <script", "One"),
+    ],
+)
+def test_html_hidden_elements_end(page, text):
+    assert html_extract.text_of(page) == text
+
+
+def test_html_many_unclosed():
+    assert html_extract.text_of("<svg><select><head><title>" * 50_000 + "x") == "x"
+
+
 def test_html_long_white_space():
     assert html_extract.text_of(" " * 300_000 + "<p>x</p>" + "\n" * 300_000 + "y") == "x\ny"
 
