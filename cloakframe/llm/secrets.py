@@ -14,8 +14,9 @@ Defined cases: null and empty texts have no findings; a name that is assigned se
 a finding for each literal, a constant stands for the last literal it was given before, or else the
 first after; cycles, chains of 1000 constants and values of over ``LONGEST`` characters stay
 unresolved; an apostrophe within a word opens no literal, and a literal ends within 4096 characters, one
-of three quotes within 8192; placeholders and references to the environment aren't
-literals; repeated rows give findings each; other columns aren't looked at.
+of three quotes within 8192; placeholders and references to the environment (all of
+``${NAME}``, ``$NAME``, ``$(...)``) aren't literals, nor is prose of five words, unless it is an armoured key or its name a
+passphrase's or password's; repeated rows give findings each; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -57,8 +58,11 @@ _BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]+")
 _ASSIGN = {"=", ":=", "=>", ":", "?=", "+="}
 _DUMMY = re.compile(
     r"(?i)^(?:x+|\*+|\.+|-+|_+|null|none|nil|true|false|undefined|todo|changeme|change[-_]me|example|sample|dummy|test|secret|password|your[-_ ].*|my[-_](?:password|token|secret)|enter[-_ ].*|insert[-_ ].*|redacted|"
-    r"\$\{?.*\}?|%\(?\w+\)?s?%?|\{\{.*\}\}|<.*>|process\.env.*|os\.environ.*|env\(.*)$"
+    r"\$\{[^{}]*\}|\$(?-i:[A-Z_][A-Z0-9_]*|[a-z_]+)|\$\(.*\)|%\(?\w+\)?s?%?|\{\{.*\}\}|<.*>|process\.env.*|os\.environ.*|env\(.*)$"
 )
+#: An armoured key has spaces, and so has a passphrase under a name that promises one.
+_PEM = re.compile(r"\s*-----BEGIN [A-Z0-9 ]+-----")
+_PHRASE = re.compile(r"pass_?phrase")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 
 
@@ -198,16 +202,24 @@ def resolved(found: list[tuple[str, list, int]]) -> list[tuple[str, str, int, bo
     return [(found[k][0], v, found[k][1][0][2], k in via) for k in range(len(found)) if (v := values[k]) is not None]
 
 
+def _snake(name: str) -> str:
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower().replace("-", "_").replace(".", "_")
+
+
 def name_weight(name: str) -> float:
-    snake = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower().replace("-", "_").replace(".", "_")
+    snake = _snake(name)
     if _MILD.search(snake):
         return 0.0
     return max((w for part, w in SENSITIVE.items() if part in snake), default=0.0)
 
 
-def literal_weight(value: str) -> float:
-    """0 for placeholders and prose, near 1 for long mixed strings."""
-    if len(value) < 6 or _DUMMY.match(value) or value.count(" ") > 3:
+def takes_phrase(name: str) -> bool:
+    return bool(_PHRASE.search(_snake(name)))
+
+
+def literal_weight(value: str, phrase: bool = False) -> float:
+    """0 for placeholders and prose, near 1 for long mixed strings; ``phrase``: words with spaces are no prose."""
+    if len(value) < 6 or _DUMMY.match(value) or (value.count(" ") > 3 and not phrase and not _PEM.match(value)):
         return 0.0
     counts = Counter(value)
     bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
@@ -222,7 +234,7 @@ def findings(text: str | None, cut: float = CUT) -> list[tuple[str, str, int, bo
     out = []
     for name, value, place, via in resolved(assignments(text)):
         if w := name_weight(name):
-            score = round(w * literal_weight(value), 6)
+            score = round(w * literal_weight(value, takes_phrase(name)), 6)
             if score >= cut:
                 out.append((name, value, place, via, score))
     return out
