@@ -12,11 +12,11 @@ it: no other text can score.
 
 Defined cases: null and empty texts have no findings; a name that is assigned several times gives
 a finding for each literal, a constant stands for the last literal it was given before, or else the
-first after; cycles, chains of 1000 constants and values of over ``LONGEST`` characters stay
-unresolved; an apostrophe within a word opens no literal, and a literal ends within 4096 characters, one
-of three quotes within 8192; placeholders and references to the environment (all of
-``${NAME}``, ``$NAME``, ``$(...)``) aren't literals, nor is prose of five words, unless it is an armoured key or its name a
-passphrase's or password's; repeated rows give findings each; other columns aren't looked at.
+first after; cycles, chains of 1000 constants and values that constants are joined to beyond ``LONGEST``
+characters stay unresolved, of the latter the literal parts are values each; an apostrophe within a word opens no literal, and
+literals are of any length; placeholders and references to the environment (all of
+``${NAME}``, ``$NAME``, ``$(...)``) aren't literals, nor is prose of five words, unless it is an armoured key or its name says
+a passphrase; repeated rows give findings each; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CUT = 0.5
-#: Characters of a value, at most; what grows beyond isn't a credential.
+#: Characters of a value that is joined from constants, at most; literals may be of any length.
 LONGEST = 8192
 
 #: Parts of names and how much they say.
@@ -46,7 +46,7 @@ _ANY = "|".join(sorted({re.sub("_", "[_.-]?", k) for k in SENSITIVE}))
 _HAS = re.compile(_ANY, re.I)
 
 _LEX = re.compile(
-    r"""(?P<str>\"\"\"(?:[^"\\]|\\.|"(?!"")){0,8192}+\"\"\"|\'\'\'(?:[^'\\]|\\.|'(?!'')){0,8192}+\'\'\'|"(?:[^"\\\n]|\\.){0,4096}+"|(?:(?<!\w)|(?<=\b[rbfu]))'(?:[^'\\\n]|\\.){0,4096}+'|`[^`\n]{0,4096}+`)
+    r"""(?P<str>\"\"\"|\'\'\'|"|(?:(?<!\w)|(?<=\b[rbfu]))'|`)
 |(?P<name>(?!\d)[\w$]+(?:[.-][\w$]+)*)
 |(?P<op>===?|!=|<=|>=|=>|:=|\?=|\+=|=|:(?!//)|\+|[\[\](){},;])
 |(?P<num>\d[\w.]*)
@@ -54,7 +54,16 @@ _LEX = re.compile(
 |(?P<other>[^\s\w"'`=:+\[\](){},;\n])""",
     re.X | re.S,
 )
+#: The rest of a literal after its opening quote, and its closing quote if it has one.
+_BODY = {
+    '"""': re.compile(r'(?:[^"\\]|\\.|"(?!""))*+("""|)', re.S),
+    "'''": re.compile(r"(?:[^'\\]|\\.|'(?!''))*+('''|)", re.S),
+    '"': re.compile(r'(?:[^"\\\n]|\\.)*+("|)', re.S),
+    "'": re.compile(r"(?:[^'\\\n]|\\.)*+('|)", re.S),
+    "`": re.compile(r"[^`\n]*+(`|)"),
+}
 _BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>]+")
+_APOSTROPHE = re.compile(r"(?:(?<!\w)|(?<=\b[rbfu]))'")
 _ASSIGN = {"=", ":=", "=>", ":", "?=", "+="}
 _DUMMY = re.compile(
     r"(?i)^(?:x+|\*+|\.+|-+|_+|null|none|nil|true|false|undefined|todo|changeme|change[-_]me|example|sample|dummy|test|secret|password|your[-_ ].*|my[-_](?:password|token|secret)|enter[-_ ].*|insert[-_ ].*|redacted|"
@@ -66,6 +75,29 @@ _PHRASE = re.compile(r"pass_?phrase")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 
 
+def _tokens(text: str) -> list[tuple[str, str, int]]:
+    """(kind, token, place) in order."""
+    out, at, fails = [], 0, dict.fromkeys(_BODY, -1)
+    while m := _LEX.search(text, at):
+        kind, token, place = m.lastgroup, m[0], m.start()
+        at = m.end()
+        if kind == "str":
+            at = place + 1
+            for q in dict.fromkeys((token, token[0])):
+                # A quote within what an unclosed one of its kind ran over isn't closed either.
+                if place < fails[q] or not (q != "'" or _APOSTROPHE.match(text, place)):
+                    continue
+                body = _BODY[q].match(text, place + len(q))
+                if body[1]:
+                    token, at = text[place : body.end()], body.end()
+                    break
+                fails[q] = body.end()
+            else:
+                continue
+        out.append((kind, token, place))
+    return out
+
+
 def _plain(token: str) -> tuple[str, int]:
     """The value of a string token, and how long its opening quote is."""
     q = 3 if token[:3] in ('"""', "'''") and len(token) >= 6 else 1
@@ -76,7 +108,7 @@ def _plain(token: str) -> tuple[str, int]:
 def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int]], int]]:
     """(name, [(kind, value, place)], place) in order; kind is ``lit``, ``ref`` or ``word``, a name that may
     as well be a literal without quotes."""
-    toks = [(m.lastgroup, m[0], m.start()) for m in _LEX.finditer(text)]
+    toks = _tokens(text)
     out, i, n = [], 0, len(toks)
     while i < n - 1:
         kind, value, place = toks[i]
@@ -171,6 +203,7 @@ def resolved(found: list[tuple[str, list, int]]) -> list[tuple[str, str, int, bo
 
     values: dict[int, str | None] = {}
     via: set[int] = set()
+    grown: list[int] = []
     for start in range(len(found)):
         stack = [start]
         while stack:
@@ -197,9 +230,20 @@ def resolved(found: list[tuple[str, list, int]]) -> list[tuple[str, str, int, bo
                 else:
                     stack.append(wait[0])
                 continue
-            values[k] = None if None in parts or sum(map(len, parts)) > LONGEST else "".join(parts)
+            values[k] = None
+            if None not in parts:
+                if len(parts) > 1 and k in via and sum(map(len, parts)) > LONGEST:
+                    grown.append(k)
+                else:
+                    values[k] = "".join(parts)
             stack.pop()
-    return [(found[k][0], v, found[k][1][0][2], k in via) for k in range(len(found)) if (v := values[k]) is not None]
+    parts_of = {k: [(found[k][0], v, place, False) for kind, v, place in found[k][1] if kind == "lit"] for k in grown}
+    out = []
+    for k in range(len(found)):
+        if (v := values[k]) is not None:
+            out.append((found[k][0], v, found[k][1][0][2], k in via))
+        out += parts_of.get(k, ())
+    return out
 
 
 def _snake(name: str) -> str:

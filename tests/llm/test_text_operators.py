@@ -333,6 +333,25 @@ def test_secrets_with_spaces_and_dollars(text, values):
     assert [v for _, v, *_ in secrets.findings(text)] == values
 
 
+@pytest.mark.parametrize("quote", ['"', "'", "`", '"""', "'''"])
+def test_secrets_of_any_length(quote):
+    long = "aB3/" * 10_000
+    text = f"keystore_secret = {quote}{long}{quote}\npassword = 'k9k9k9aa1'"
+    assert [v for _, v, *_ in secrets.findings(text)] == [long, "k9k9k9aa1"]
+
+
+def test_secrets_joined_beyond_the_bound_keep_their_literals():
+    text = "a = '" + "aB3/" * 2_000 + "'\nb = a + a\ntoken = a + 'k9k9k9aa1'\nsecret = '" + "aB3/" * 2_000 + "' + '" + "aB3/" * 2_000 + "'"
+    got = secrets.findings(text + "\nauth_key = a + 'n" + "7q" * 200 + "'")
+    assert [v for n, v, *_ in got if n == "secret"] == ["aB3/" * 4_000]
+    assert [v for n, v, *_ in got if n == "auth_key"] == ["n" + "7q" * 200]
+
+
+def test_secrets_unclosed_quotes_take_linear_time():
+    for q in ('"', "'", '"""', "'''"):
+        assert secrets.findings("token " + ("\\" + q) * 100_000) == []
+
+
 def test_secret_places(spark, sf_dir):
     """Findings on the test documents are those of the one form that they hold, by a plain search."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
