@@ -1,6 +1,8 @@
 """License scans: a trained paragraph classifier, confirmed against templates.
 
-A text is split into paragraphs (lines), long ones into windows of ``WINDOW`` words that overlap by half.
+A text is split into paragraphs (lines), long ones into windows of ``WINDOW`` words that overlap by half; windows also
+run over the lines between two empty ones, for what is wrapped. All families of a window are found, each without the
+words of the others; words that stand for several alike, such as a GPL without its version, are unknown.
 Sparse features, the word 1-, 2- and 3-grams that occur in the templates, go into a multinomial logistic
 regression over the licence families and an unknown class. It is trained in numpy on variations of the
 templates, on texts that speak of licences without granting one, and on ordinary paragraphs from a
@@ -46,12 +48,14 @@ TEMPLATES = {
         "permission is hereby granted, free of charge, to any person obtaining a copy",
         "SPDX-License-Identifier: MIT",
         "SPDX: MIT",
+        "MIT License",
     ],
     "Apache-2.0": [
         "licensed under the Apache License, Version 2.0",
         "you may obtain a copy of the License at apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
         "SPDX: Apache-2.0",
+        "Apache License, Version 2.0",
     ],
     "GPL-3.0": [
         "this work is licensed under the GNU General Public License, version 3",
@@ -89,6 +93,7 @@ TEMPLATES = {
         "use of this source code is governed by a BSD-style license",
         "SPDX-License-Identifier: BSD-3-Clause",
         "SPDX: BSD-3-Clause",
+        "BSD license",
         "SPDX: BSD-2-Clause",
     ],
     "ISC": [
@@ -96,6 +101,7 @@ TEMPLATES = {
         "permission to use, copy, modify, and/or distribute this software for any purpose",
         "SPDX-License-Identifier: ISC",
         "SPDX: ISC",
+        "ISC license",
     ],
     "MPL-2.0": [
         "subject to the terms of the Mozilla Public License, v. 2.0",
@@ -202,6 +208,70 @@ class Model:
         mine = self.pairs.intersection(zip(w, w[1:]))
         return bool(mine) and any(len(t & mine) >= COVERED * len(t) for ts in self.templates.values() for t in ts)
 
+    def claims(self, w: list[str]) -> list[tuple[str, float, frozenset[int]]]:
+        """(family, similarity, places of its words) of templates that occur, the best first, each without the words of those
+        before; unknown where the same words stand for several families."""
+        free, out = [True] * len(w), []
+        while True:
+            at: dict[tuple[str, str], list[int]] = {}
+            for i, pair in enumerate(zip(w, w[1:])):
+                if free[i] and free[i + 1] and pair in self.pairs:
+                    at.setdefault(pair, []).append(i)
+            found = []
+            for family, ts in self.templates.items():
+                for t in ts:
+                    mine = sorted(t & at.keys())
+                    if mine and len(mine) >= COVERED * len(t):
+                        mid = at[min(mine, key=lambda p: len(at[p]))][0]
+                        near = [min(at[p], key=lambda i: abs(i - mid)) for p in mine]
+                        found.append((len(mine) / len(t), len(mine), family, frozenset(j for i in near for j in (i, i + 1))))
+            if not found:
+                return out
+            share, _, family, where = max(found, key=lambda f: f[:2])
+            if any(f[2] != family and f[3] == where for f in found):
+                family = UNKNOWN
+            out.append((family, share, where))
+            for j in where:
+                free[j] = False
+
+    def families(self, w: list[str]) -> list[tuple[str, float, float, bool, frozenset[int]]]:
+        """(family, probability, similarity, confirmed, places) of all families of a window."""
+        out, claims = [], self.claims(w)
+        for claimed, near, where in claims or [(None, 0.0, frozenset())]:
+            others = set().union(*(c[2] for c in claims)) - where
+            rest = [x for i, x in enumerate(w) if i not in others]
+            p = self.probabilities(rest)
+            k = int(p.argmax())
+            family = self.classes[k] if p[k] >= CONFIDENT and claimed != UNKNOWN else UNKNOWN
+            if family == UNKNOWN:
+                out.append((UNKNOWN, float(p[self.classes.index(UNKNOWN)]), 0.0, False, where))
+            else:
+                out.append((family, float(p[k]), near if family == claimed else self.similarity(family, rest), family == claimed, where))
+        return out
+
+    def text(self, text: str) -> list[tuple[int, str, float, float, bool]]:
+        """(line, family, probability, similarity, confirmed) of a text; what runs over lines is of its first one."""
+        lines = text.split("\n")
+        rows = {(k, f[0]): f[1:] for k, line in enumerate(lines) for f in self.paragraph(line)}
+        block: list[tuple[str, int]] = []
+        for k, line in enumerate([*lines, ""]):
+            if line.strip():
+                block += [(x, k) for x in words(line)]
+                continue
+            w = [x for x, _ in block]
+            for s in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
+                part = w[s : s + WINDOW]
+                if not self.licence_like(" ".join(part), part):
+                    continue
+                for family, *found, sure, where in self.families(part):
+                    over = sorted({block[s + i][1] for i in where})
+                    if sure and len(over) > 1 and not any(rows.get((x, family), (0, 0, False))[2] for x in over):
+                        # Guesses at parts of what is confirmed as a whole.
+                        rows = {at: r for at, r in rows.items() if at[0] not in over or r[2]}
+                        rows[over[0], family] = (*found, sure)
+            block = []
+        return [(k, f, *rows[k, f]) for k, f in sorted(rows)]
+
     def paragraph(self, text: str) -> list[tuple[str, float, float, bool]]:
         """(family, probability, similarity, confirmed) of the families of a paragraph."""
         w = words(text)
@@ -211,16 +281,9 @@ class Model:
             part = w[s : s + WINDOW]
             if not self.licence_like(" ".join(part), part):
                 continue
-            p = self.probabilities(part)
-            k = int(p.argmax())
-            family = self.classes[k] if p[k] >= CONFIDENT else UNKNOWN
-            if family == UNKNOWN:
-                found = (float(p[self.classes.index(UNKNOWN)]), 0.0, False)
-            else:
-                near = self.similarity(family, part)
-                found = (float(p[k]), near, near >= COVERED)
-            if family not in best or found[0] > best[family][0]:
-                best[family] = found
+            for family, *found, _ in self.families(part):
+                if family not in best or found[0] > best[family][0]:
+                    best[family] = tuple(found)
         if len(best) > 1 and UNKNOWN in best:
             del best[UNKNOWN]
         return [(f, *best[f]) for f in sorted(best)]
@@ -316,10 +379,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
             for k, text in enumerate(each(b.column(1))):
                 if not text or not part.value.licence_like(text, words(text)):
                     continue
-                for number, p in enumerate(text.split("\n")):
-                    found = part.value.paragraph(p)
-                    at += [k] * len(found)
-                    rows += [(number, *f) for f in found]
+                found = part.value.text(text)
+                at += [k] * len(found)
+                rows += found
             number, family, prob, near, sure = zip(*rows) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(at, pa.int32())), pa.array(number, pa.int32()), pa.array(family, pa.string()), pa.array(prob, pa.float64()), pa.array(near, pa.float64()), pa.array(sure, pa.bool_())],

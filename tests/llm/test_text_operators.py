@@ -249,6 +249,20 @@ def test_no_template_needs_an_anchor(licences):
         assert [(f, sure) for f, _, _, sure in licences.paragraph(text)] == [("MIT", True)]
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("x\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License", [(1, "GPL-3.0", True)]),
+        ("it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License", [(0, "GPL-2.0", True)]),
+        ("it under the terms of the GNU General Public License as published by\n\nsomeone", [(0, "unknown", False)]),
+        ("Licensed under the MIT license or the Apache License, Version 2.0", [(0, "Apache-2.0", True), (0, "MIT", True)]),
+        ("All rights\nreserved.", [(0, "Proprietary", True)]),
+    ],
+)
+def test_licences_over_lines_and_in_company(licences, text, want):
+    assert [(k, f, sure) for k, f, _, _, sure in licences.text(text)] == want
+
+
 def test_rights_statements_have_rows(spark, licences):
     docs = spark.createDataFrame([(1, "Some words.\nAll rights reserved.\n"), (2, "Some words.\nGPLv3\n"), (3, "Some words.\nReleased under the MIT."), (4, "Some words.")], "doc_id long, text string")
     got = license_scan.scan(docs, model=licences).collect()
