@@ -1,25 +1,32 @@
 """N-gram Jaccard self-join by chosen paths, and near-duplicate grouping on top of it.
 
-A document is the set of its word n-grams. Sets are split recursively: at every node ``BRANCHES``
+A document is the set of its word n-grams. In each run sets are split recursively: at a node ``BRANCHES``
 tokens are sampled (the minimum of a random order over the set, so two sets draw the same token
 with probability equal to their Jaccard similarity), and the sets that drew the same token form a
 child node. A node of at most ``SMALL`` sets is compared pair by pair, and so is one that splitting
 wouldn't make cheaper: if the squares of its children's sizes add up to its own square or more, as they do
 among near copies of one text. Other nodes split again, to ``DEPTH`` levels, after which even a large node
-is compared completely. Large comparisons are done in tiles. A pair at the
-threshold survives a node with a probability that the branching recurrence gives, and the runs are
-repeated (``runs``) until the chance to miss it in all of them is under ``1 - recall``.
+is compared completely. Large comparisons are done in tiles. Every branch of every level of every run draws
+by an order of its own, so what a pair meets with on one level or in one run tells nothing of the others; the
+nodes of a level share its orders. A pair at the threshold so gets down to the last level of a run
+with probability (1 - (1 - threshold) ^ BRANCHES) ^ DEPTH at least, and the runs are
+repeated (``runs``) until the chance to miss it in all of them is under ``1 - recall``. Orders are made for as many
+runs as a threshold needs, without a bound.
 
 The comparison in a node uses signatures, dropping pairs 3 standard errors under the threshold, and pairs
 that an earlier node of the first level has compared already. The
 rest are verified exactly: connected candidates share a verification group, so that a text is
 shipped once, and only the texts of candidates are shipped at all. Equal sets are one set from the
-start, found by a 128-bit digest of the sorted set, so groups of copies cost nothing to search.
+start, found by a 128-bit digest of the sorted set, so groups of copies cost nothing to search, and links are counted
+by set, never expanded into pairs of rows.
 
-Defined cases: null texts and texts without words are in no pair; a text of fewer than n words is
-one shingle; repeated rows are a pair of similarity 1; pairs are unordered and listed once, with
-the smaller ``doc_id`` first; a null ``doc_id`` is kept as null; extra columns are ignored by
-the join and kept by the filter.
+What grows faster than the input is the comparison of different texts that are all similar to each other: k of them have
+k * (k - 1) / 2 links, each of which is counted.
+
+Defined cases: null texts and texts without words have no links; a text of fewer than n words is
+one shingle; repeated rows are similar to each other by 1; rows without links are classes of their own; a class bears the
+least ``doc_id``, and a null one only if it has no other; a null ``doc_id`` is kept as null; an empty table gives an empty
+one; texts of any length are read whole; extra columns, whatever their names, are ignored by the join and kept by the filter.
 """
 
 from __future__ import annotations
@@ -37,46 +44,58 @@ from .common import WordHashes, drop_tables, each, groups, shingles, small_enoug
 NGRAM = 3
 THRESHOLD = 0.5
 RECALL = 0.99
+#: Coordinates of a signature at least; it has as many as the draws of all runs need.
 COORDINATES = 64
 BRANCHES = 3
 SMALL = 64
-DEPTH = 5
+DEPTH = 3
 #: Sets in a tile of a node that stayed large, and in a tile of a verification group.
-TILE = 1024
-
-#: Coordinates that make the nodes of the first level; a signature is packed as these, whole, and the low bytes of all.
-_HEADS = 32
-
-_MULS = np.random.default_rng(20240607).integers(1, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADDS = np.random.default_rng(20240608).integers(1, 1 << 32, COORDINATES, dtype=np.uint64).astype(np.uint32)
+TILE = 2048
 
 
 def runs(threshold: float, recall: float, branches: int = BRANCHES, depth: int = DEPTH) -> int:
     """Repetitions after which a pair at the threshold is found with probability ``recall``, even
     if all its nodes are large down to the last level."""
-    q = 1.0
-    for _ in range(depth):
-        q = 1 - (1 - threshold * q) ** branches
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - q) - 1e-9)) if q < 1 else 1
-
-
-def _signature(s: np.ndarray) -> np.ndarray:
-    x = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
-    out = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(x), 4096):  # a piece stays in the processor's cache
-        y = x[None, k : k + 4096] * _MULS[:, None]
-        y ^= y >> np.uint32(15)
-        y += _ADDS[:, None]
-        y *= np.uint32(0x85EBCA6B)
-        np.minimum(out, y.min(axis=1), out=out)
-    return out
-
-
-def _packed(sig: np.ndarray) -> bytes:
-    return sig[:_HEADS].tobytes() + sig.astype(np.uint8).tobytes()
-
-
-def _sketch(n: int):
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("the threshold must lie in (0, 1], the recall in (0, 1)")
+    q = (1 - (1 - threshold) ** branches) ** depth
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-q) - 1e-9)) if q < 1 else 1
+
+
+class Plan:
+    """The coordinates of a signature: those of the first level of all runs, then those of the deeper levels, run by run."""
+
+    def __init__(self, threshold: float, recall: float) -> None:
+        self.runs = runs(threshold, recall)
+        self.first = self.runs * BRANCHES
+        self.size = max(COORDINATES, self.first * DEPTH)
+        #: Coordinates of the first level that are packed whole, to tell pairs that have met.
+        self.heads = min(62, self.first)
+        rng = np.random.default_rng(20240607)
+        self.muls, self.adds = (rng.integers(1, 1 << 32, self.size, dtype=np.uint64).astype(np.uint32) for _ in range(2))
+        self.muls |= np.uint32(1)
+        self.least = math.ceil(self.size * max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / self.size)))
+
+    def deeper(self, level: int, branch: int) -> str:
+        """SQL for the coordinate that a branch draws by on a level from 1 on, counted from 1; ``run`` is the node's run."""
+        return f"{self.first} + (run * {DEPTH - 1} + {level - 1}) * {BRANCHES} + {branch + 1}"
+
+    def signature(self, s: np.ndarray) -> np.ndarray:
+        x = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
+        out = np.full(self.size, 0xFFFFFFFF, np.uint32)
+        for k in range(0, len(x), 4096):  # a piece stays in the processor's cache
+            y = x[None, k : k + 4096] * self.muls[:, None]
+            y ^= y >> np.uint32(15)
+            y += self.adds[:, None]
+            y *= np.uint32(0x85EBCA6B)
+            np.minimum(out, y.min(axis=1), out=out)
+        return out
+
+    def packed(self, sig: np.ndarray) -> bytes:
+        return sig[: self.heads].tobytes() + sig.astype(np.uint8).tobytes()
+
+
+def _sketch(n: int, plan: Plan):
     def sketch(batches):
         cache = WordHashes()
         for b in batches:
@@ -87,14 +106,14 @@ def _sketch(n: int):
                     s = np.unique(s)
                     rid.append(r)
                     fp.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    sig.append(_signature(s))
+                    sig.append(plan.signature(s))
             values = np.concatenate(sig).view(np.int32) if sig else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(rid, pa.int64()),
                     pa.array(fp, pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(0, len(values) + 1, COORDINATES, dtype=np.int32), pa.array(values)),
-                    pa.array([_packed(x) for x in sig], pa.binary()),
+                    pa.ListArray.from_arrays(np.arange(0, len(values) + 1, plan.size, dtype=np.int32), pa.array(values)),
+                    pa.array([plan.packed(x) for x in sig], pa.binary()),
                 ],
                 ["rid", "fp", "sig", "pack"],
             )
@@ -102,17 +121,18 @@ def _sketch(n: int):
     return sketch
 
 
-def _compare(least: int):
-    """Pairs within each node whose signatures agree in ``least`` coordinates. Rows are (node, side, rid, first, leaves, pack);
+def _compare(plan: Plan):
+    """Pairs within each node whose signatures agree in ``plan.least`` coordinates. Rows are (node, side, rid, first, leaves, pack);
     side 1 and 2 are compared across only, side 0 with all of its node; ``first`` is the node's number on the
     first level or -1, ``leaves`` has the bits of the row's nodes on the first level that are compared."""
+    heads_n, least = plan.heads, plan.least
 
     def compare(batches):
         for t in groups(batches, "node"):
             node, side, rid, first, leaves = (t.column(c).to_numpy() for c in ("node", "side", "rid", "first", "leaves"))
             pack = np.frombuffer(b"".join(t.column("pack").to_pylist()), np.uint8).reshape(len(node), -1)
-            heads, sig = np.ascontiguousarray(pack[:, : 4 * _HEADS]).view(np.uint32), np.ascontiguousarray(pack[:, 4 * _HEADS :])
-            before = (np.int64(1) << np.where(first < 0, _HEADS, first)) - 1
+            heads, sig = np.ascontiguousarray(pack[:, : 4 * heads_n]).view(np.uint32), np.ascontiguousarray(pack[:, 4 * heads_n :])
+            before = (np.int64(1) << np.where((first < 0) | (first > heads_n), heads_n, first)) - 1
             n, found = len(node), []
             idx = np.arange(n)
             for d in range(1, n):
@@ -125,7 +145,7 @@ def _compare(least: int):
                     a = i[k : k + 65536]
                     a = a[np.count_nonzero(sig[a] == sig[a + d], axis=1) >= least]
                     if len(a):
-                        met = (heads[a] == heads[a + d]) @ (np.int64(1) << np.arange(_HEADS))
+                        met = (heads[a] == heads[a + d]) @ (np.int64(1) << np.arange(heads_n))
                         a = a[(met & leaves[a] & before[a]) == 0]
                         found.append(np.stack([rid[a], rid[a + d]]))
             if found:
@@ -138,13 +158,10 @@ def _compare(least: int):
     return compare
 
 
-def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+def _candidates(sets: DataFrame, plan: Plan) -> DataFrame:
     """Distinct pairs (a, b) of rows of ``sets`` (rid, sig, pack) that meet in a leaf and whose signatures are near enough."""
-    n_runs = runs(threshold, recall)
-    first = min(_HEADS, n_runs * BRANCHES)
-    child = lambda node, j, at: F.xxhash64(node, F.lit(j), at)
-    start = [F.struct(child(F.lit(i // BRANCHES), i, F.col("sig")[i]).alias("node"), F.lit(i).alias("first")) for i in range(first)]
-    rows = write_table(sets.select("rid", F.explode(F.array(*start)).alias("s")).select("rid", "s.node", "s.first"))
+    start = F.expr(f"posexplode(slice(sig, 1, {plan.first}))").alias("first", "token")
+    rows = write_table(sets.select("rid", start).select("rid", F.xxhash64("first", "token").alias("node"), "first", F.expr(f"first div {BRANCHES}").cast("int").alias("run")))
     sizes = write_table(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"))
     leaves, written = [], [rows, sizes]
 
@@ -157,15 +174,15 @@ def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
             leaf(sizes)
             break
         leaf(sizes.filter(F.col("n") <= SMALL))
-        pick = lambda j: F.expr(f"element_at(sig, cast(pmod(xxhash64(node, {j}), {COORDINATES}) + 1 as int))")
-        split = rows.join(large, "node").join(sets, "rid")
-        split = write_table(split.select("rid", F.col("node").alias("parent"), "n", F.explode(F.array(*[child(F.col("node"), j, pick(j)) for j in range(BRANCHES)])).alias("node")))
+        kid = lambda j: F.expr(f"xxhash64(node, {j}, element_at(sig, {plan.deeper(level, j)}))")  # noqa: B023, E731
+        split = rows.join(large, "node").join(sets.select("rid", "sig"), "rid")
+        split = write_table(split.select("rid", "run", F.col("node").alias("parent"), "n", F.explode(F.array(*map(kid, range(BRANCHES)))).alias("node")))
         kids = write_table(split.groupBy("parent", "n", "node").agg(F.count("*").alias("c")))
         dense = write_table(kids.groupBy("parent", "n").agg(F.sum(F.col("c") * F.col("c")).alias("squares")).filter("squares >= n * n").select(F.col("parent").alias("node"), "n"))
         written += [split, kids, dense]
         leaf(dense)
         gone = dense.select(F.col("node").alias("parent"))
-        rows = write_table(split.join(gone, "parent", "left_anti").select("rid", "node", F.lit(-1).alias("first")))
+        rows = write_table(split.join(gone, "parent", "left_anti").select("rid", "node", F.lit(-1).alias("first"), "run"))
         sizes = write_table(kids.filter("c > 1").join(gone, "parent", "left_anti").select("node", F.col("c").alias("n")))
         written += [rows, sizes]
     all_leaves = leaves[0]
@@ -182,16 +199,15 @@ def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
     )
     met = all_leaves.filter(F.col("n") <= TILE).select("node", F.lit(0).alias("side"), "first", "rid").unionByName(tiled)
     # All places of a row travel together to its signature, which is read once and then copied to each.
-    bit = F.when(F.col("first") >= 0, F.expr("shiftleft(1L, first)")).otherwise(F.lit(0).cast("long"))
+    bit = F.when((F.col("first") >= 0) & (F.col("first") < plan.heads), F.expr("shiftleft(1L, first)")).otherwise(F.lit(0).cast("long"))
     places = met.groupBy("rid").agg(F.collect_list(F.struct("node", "side", "first")).alias("at"), F.bit_or(bit).alias("leaves"))
-    least = math.ceil(COORDINATES * max(0.0, threshold - 3 * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
     pairs = (
         places.join(sets.select("rid", "pack"), "rid")
         .select(F.explode("at").alias("at"), "rid", "leaves", "pack")
         .select("at.node", "at.side", "rid", "at.first", "leaves", "pack")
         .repartition("node")
         .sortWithinPartitions("node")
-        .mapInArrow(_compare(least), "a long, b long")
+        .mapInArrow(_compare(plan), "a long, b long")
         .distinct()
     )
     out = write_table(pairs)
@@ -245,14 +261,15 @@ def _verify(n: int, threshold: float):
 
 def _similar(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float):
     """rows with a row id; (rid, rep) of every row with words; (a, b, jaccard) of pairs of reps, both written."""
+    plan = Plan(threshold, recall)
     rows, rid = with_row_id(docs)
     texts = rows.select(F.col(rid).alias("rid"), F.col(text_col).alias("text"))
-    sketches = write_table(texts.mapInArrow(_sketch(n), "rid long, fp binary, sig array<int>, pack binary"))
+    sketches = write_table(texts.mapInArrow(_sketch(n, plan), "rid long, fp binary, sig array<int>, pack binary"))
     reps = sketches.groupBy("fp").agg(F.min(F.struct("rid", "sig", "pack")).alias("x"))
     sets = write_table(reps.select("fp", "x.rid", "x.sig", "x.pack"))
     members = write_table(sketches.select("rid", "fp").join(sets.select("fp", F.col("rid").alias("rep")), "fp").select("rid", "rep"))
     drop_tables(sketches)
-    near = _candidates(sets.select("rid", "sig", "pack"), threshold, recall)
+    near = _candidates(sets.select("rid", "sig", "pack"), plan)
     drop_tables(sets)
     roots = components(near)
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
@@ -271,25 +288,32 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     return rows, rid, members, pairs
 
 
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different sets, ``set_a``, ``set_b`` and ``jaccard``, and the rows that have each, ``set_id`` and ``doc_id``: the join
+    in full, without the pairs of rows that it stands for."""
+    rows, rid, members, pairs = _similar(docs, id_col, text_col, n, threshold, recall)
+    named = rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("doc_id")).join(members, "rid")
+    return pairs.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "jaccard"), named.select(F.col("rep").alias("set_id"), "doc_id")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """All pairs ``doc_id_a``, ``doc_id_b``, ``jaccard`` of rows whose n-gram sets are at least ``threshold`` similar."""
+    """A row for each document: ``doc_id``, ``class_id`` (the least ``doc_id`` that similar rows connect it with, itself included)
+    and ``n_links``, the number of rows whose n-gram sets are at least ``threshold`` similar to its own."""
     rows, rid, members, pairs = _similar(docs, id_col, text_col, n, threshold, recall)
-    named = members.join(rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("doc")), "rid")
-    named = write_table(named.select("rid", "rep", "doc"))
-    crowds = named.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1")
-    twins = named.join(crowds, "rep")
-    same = (
-        twins.select("rep", F.col("rid").alias("ra"), F.col("doc").alias("da"))
-        .join(twins.select("rep", F.col("rid").alias("rb"), F.col("doc").alias("db")), "rep")
-        .filter("ra < rb")
-        .select("da", "db", F.lit(1.0).alias("jaccard"))
-    )
-    left = named.select(F.col("rep").alias("a"), F.col("doc").alias("da"))
-    right = named.select(F.col("rep").alias("b"), F.col("doc").alias("db"))
-    near = pairs.join(left, "a").join(right, "b").select("da", "db", "jaccard")
-    ordered = F.col("da").isNull() | (F.col("da") <= F.col("db"))
-    return same.unionByName(near).select(
-        F.when(ordered, F.col("da")).otherwise(F.col("db")).alias("doc_id_a"), F.when(ordered, F.col("db")).otherwise(F.col("da")).alias("doc_id_b"), "jaccard"
+    roots = components(pairs)
+    crowds = members.groupBy("rep").agg(F.count("*").alias("n"))
+    # A set's links: rows of the sets that are similar to it, and its own rows but one.
+    ends = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    linked = ends.join(crowds.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("links"))
+    sets = crowds.join(linked, "rep", "left").join(roots.withColumnRenamed("rid", "rep"), "rep", "left")
+    sets = write_table(sets.select("rep", F.coalesce("root", "rep").alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).filter("n_links > 0"))
+    keyed = rows.select(F.col(rid).alias("rid"), F.col(id_col).alias("doc"))
+    placed = write_table(members.join(sets, "rep").select("rid", "root", "n_links").join(keyed, "rid"))
+    firsts = placed.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull().alias("last"), "doc")).alias("first"))
+    named = write_table(placed.join(firsts, "root").select("rid", F.col("first.doc").alias("class_id"), "n_links"))
+    drop_tables(members, pairs, roots, sets, placed)
+    return keyed.join(named, "rid", "left").select(
+        F.col("doc").alias("doc_id"), F.when(F.col("n_links").isNull(), F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
     )
 
 

@@ -80,12 +80,79 @@ def brute_pairs(rows, n=jaccard_join.NGRAM, threshold=jaccard_join.THRESHOLD):
     return out
 
 
-def test_jaccard_join_recall(spark):
+def joined_pairs(spark, rows, **more):
+    """All pairs of rows that the join found, from its sets and their members; each pair of sets comes once."""
+    pairs, named = jaccard_join.similar_sets(frame(spark, rows), **more)
+    rows_of = defaultdict(list)
+    for r in named.collect():
+        rows_of[r["set_id"]].append(r["doc_id"])
+    found = [(r["set_a"], r["set_b"], r["jaccard"]) for r in pairs.collect()]
+    assert len(found) == len({(a, b) for a, b, _ in found})
+    out = {(min(i, j), max(i, j)): round(x, 9) for a, b, x in found for i in rows_of[a] for j in rows_of[b]}
+    return out | {(i, j): 1.0 for ids in rows_of.values() for i in ids for j in ids if i < j}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_jaccard_join_recall(spark, threshold):
     rows = near_corpus(1, 150)
+    want = brute_pairs(rows, threshold=threshold)
+    got = joined_pairs(spark, rows, threshold=threshold)
+    assert all(want.get(p) == j for p, j in got.items())
+    assert len(got) >= 0.98 * len(want) > 80
+
+
+def test_jaccard_join_recall_where_nodes_stay_large(spark, monkeypatch):
+    """Pairs just over the threshold that get down to the last level of splitting."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 1)
+    rng, rows = random.Random(12), []
+    for g in range(200):
+        base = prose(rng, 60).split()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:43] + prose(rng, 17).split()))]
     want = brute_pairs(rows)
-    got = [((r["doc_id_a"], r["doc_id_b"]), round(r["jaccard"], 9)) for r in jaccard_join.jaccard_join(frame(spark, rows)).collect()]
-    assert len(got) == len(dict(got)) and all(want.get(p) == j for p, j in got)
-    assert len(got) >= 0.95 * len(want) > 100
+    got = joined_pairs(spark, rows)
+    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 150
+
+
+def test_jaccard_draws_are_independent():
+    """The share of runs in which a pair gets down to the last level is what ``runs`` counts on."""
+    plan, rng = jaccard_join.Plan(0.3, 0.99), np.random.default_rng(4)
+    assert plan.runs == jaccard_join.runs(0.3, 0.99) and plan.size >= plan.runs * jaccard_join.DEPTH * jaccard_join.BRANCHES
+    met = []
+    for _ in range(60):
+        s = rng.integers(0, 1 << 63, 170).astype(np.uint64)
+        same = plan.signature(s[:130]) == plan.signature(np.concatenate([s[:90], s[130:]]))  # 90 of 170
+        first = same[: plan.first].reshape(plan.runs, -1).any(axis=1)
+        deeper = same[plan.first : plan.first * jaccard_join.DEPTH].reshape(plan.runs, jaccard_join.DEPTH - 1, -1).any(axis=2).all(axis=1)
+        met.append((first & deeper).mean())
+    q = (1 - (1 - 90 / 170) ** jaccard_join.BRANCHES) ** jaccard_join.DEPTH
+    assert abs(np.mean(met) - q) < 0.06
+
+
+def classes_of(pairs, rows):
+    """doc_id -> (class, links) by brute force."""
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    links = dict.fromkeys(root, 0)
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: (find(i), links[i]) for i in root}
+
+
+def test_jaccard_classes_and_links(spark):
+    rows = near_corpus(3, 100)
+    rows += [(5000 + i, rows[i % 7][1]) for i in range(20)] + [(6000, None), (6001, "")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(frame(spark, rows)).collect()}
+    assert got == classes_of(joined_pairs(spark, rows), rows)
+    want = classes_of(brute_pairs(rows), rows)
+    assert len(got) == len(rows) and sum(got[i] == want[i] for i in want) >= 0.97 * len(want)
 
 
 def test_jaccard_join_dense_nodes(spark, monkeypatch):
@@ -101,8 +168,8 @@ def test_jaccard_join_dense_nodes(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     rows += [(100 + i, prose(rng, 30) + " " + passage) for i in range(40)]
     want = brute_pairs(rows)
-    got = {(r["doc_id_a"], r["doc_id_b"]) for r in jaccard_join.jaccard_join(frame(spark, rows)).collect()}
-    assert got <= set(want) and len(got) >= 0.95 * len(want)
+    got = joined_pairs(spark, rows)
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
 
 
 def groups(pairs, ids):
@@ -128,9 +195,9 @@ def test_near_duplicates_keep_one_of_each_group(spark):
 
 def test_jaccard_odd_rows(spark):
     df = frame(spark, ODD)
-    got = sorted((str(r["doc_id_a"]), str(r["doc_id_b"]), r["jaccard"]) for r in jaccard_join.jaccard_join(df).collect())
-    assert [g[:2] for g in got if "None" not in g] == [("3", "4"), ("5", "6"), ("5", "7"), ("6", "7")]
-    assert sum("None" in g for g in got) == 2
+    got = sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in jaccard_join.jaccard_join(df).collect())
+    alone = [("1", "1", 0), ("2", "2", 0), ("2", "2", 0), ("8", "8", 0), ("9", "9", 0), ("9", "9", 0), ("None", "None", 0)]
+    assert got == sorted(alone + [(x, "3", 2) for x in ("3", "4", "None")] + [(x, "5", 2) for x in "567"])
     kept = jaccard_join.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "2", "3", "5", "8", "9", "9", "None"]
@@ -138,12 +205,12 @@ def test_jaccard_odd_rows(spark):
 
 
 def test_runs_reach_the_recall():
-    rng = np.random.default_rng(0)
     assert jaccard_join.runs(0.5, 0.99) >= 3 and jaccard_join.runs(1.0, 0.99) == 1
-    q = 1.0
-    for _ in range(jaccard_join.DEPTH):
-        q = 1 - (1 - 0.5 * q) ** jaccard_join.BRANCHES
-    assert (1 - q) ** jaccard_join.runs(0.5, 0.99) <= 0.01 + 1e-9 and rng is not None
+    q = (1 - 0.5**jaccard_join.BRANCHES) ** jaccard_join.DEPTH
+    assert (1 - q) ** jaccard_join.runs(0.5, 0.99) <= 0.01 + 1e-9
+    for bad in (0, 1.5):
+        with pytest.raises(ValueError):
+            jaccard_join.runs(bad, 0.99)
 
 
 # ---- decontamination ----
