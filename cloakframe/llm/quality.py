@@ -7,9 +7,12 @@ features in time linear in the features by the sum-of-squares identity. Weights
 are trained in numpy by Adagrad on a bounded sample (``MAX_TRAIN``) of labelled documents, the cut on a
 held-out fifth.
 
-Defined cases: null and empty texts score with no words and zero statistics; a null source or
-language is a value of its own, and so is a column that the table hasn't; without labels of both classes the score is
-null and nothing counts as low; repeated rows score alike; extra columns aren't looked at.
+Defined cases: null and empty texts score with no words and zero statistics; metadata of any type count as strings, their
+columns are found whatever the case of their names, as Spark does; a null source or
+language is a value of its own, and so is a column that the table hasn't; without labels of both classes, or with labels that held-out
+scores don't tell apart by ``labelled.TELLS`` standard errors, as with fewer than about 20 of each, the score is
+null and nothing counts as low; an empty table gives an empty one; texts of any length are scored whole; repeated and tied rows
+score alike; null ids are kept; extra columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import each
-from .labelled import MAX_TRAIN, sample, threshold
+from .labelled import MAX_TRAIN, TELLS, held_out, ranked, sample, threshold
 
 BUCKETS = 1 << 16
 RANK = 8
@@ -135,29 +138,33 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
     return Machine(float(bias), w, v.astype(np.float32))
 
 
-def _with_metadata(docs: DataFrame) -> DataFrame:
-    missing = [c for c in METADATA if c not in docs.columns]
-    return docs.withColumns({c: F.lit(None).cast("string") for c in missing}) if missing else docs
+def _metadata(docs: DataFrame) -> list[Column]:
+    """Source and language as strings, null where the table hasn't got them."""
+    have = {c.lower(): c for c in docs.columns}
+    return [(F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast("string") for c in METADATA]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", most: int = MAX_TRAIN) -> Machine | None:
-    rows, share = sample(_with_metadata(docs), labels, "quality", extra=list(METADATA), id_col=id_col, most=most)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Machine | None:
+    rows, share = sample(docs, labels, "quality", extra=_metadata(docs), id_col=id_col, text_col=text_col, most=most)
     y = np.array([r[0] for r in rows], np.int64)
-    if len(set(y.tolist())) < 2:
+    order = np.random.default_rng(SEED).permutation(len(y))
+    y = y[order]
+    held = held_out(y)
+    if not (held & (y == 1)).any() or not (held & (y == 0)).any():
         return None
     cache = _Buckets()
-    order = np.random.default_rng(SEED).permutation(len(y))
-    x, y = [features(rows[i][1], tuple(rows[i][2:]), cache) for i in order], y[order]
-    held = np.arange(len(y)) % 5 == 4
+    x = [features(rows[i][1], tuple(rows[i][2:]), cache) for i in order]
     machine = fit([r for r, h in zip(x, held) if not h], y[~held])
-    if held.any():
-        machine.cut = threshold(np.array([machine.score(*r) for r, h in zip(x, held) if h]), y[held], share)
+    scores = np.array([machine.score(*r) for r, h in zip(x, held) if h])
+    if ranked(scores, y[held])[1] < TELLS:
+        return None
+    machine.cut = threshold(scores, y[held], share)
     return machine
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, model: Machine | None = None) -> DataFrame:
     """``doc_id``, ``quality`` (probability that the document is good, 0.5 at the cut) and ``is_low`` for each document."""
-    model = model or train(docs, labels, id_col, most)
+    model = model or train(docs, labels, id_col, text_col, most)
     if model is None:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(None).cast("double").alias("quality"), F.lit(False).alias("is_low"))
     part = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x RANK numbers, whatever the corpus
@@ -168,5 +175,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for text, *meta in columns:
             yield pa.array(part.value.scores(each(text), zip(*map(each, meta)), cache), pa.float64())
 
-    rows = _with_metadata(docs).select(F.col(id_col).alias("doc_id"), margin(text_col, *(F.col(c).cast("string") for c in METADATA)).alias("m"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), margin(F.col(text_col), *_metadata(docs)).alias("m"))
     return rows.select("doc_id", (1 / (1 + F.exp(F.lit(model.cut) - F.col("m")))).alias("quality"), (F.col("m") < model.cut).alias("is_low"))

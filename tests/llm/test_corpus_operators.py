@@ -310,6 +310,52 @@ def test_sum_of_squares_identity():
     assert m.score(col, val) == pytest.approx(0.3 + w[col] @ val + pairs, rel=1e-5)
 
 
+@pytest.mark.parametrize("module,label,result", [(toxicity, "toxic", "is_toxic"), (quality, "quality", "is_low")])
+@pytest.mark.parametrize("n", [0, 2, 10, 40, 200])
+def test_classifiers_with_few_labels(spark, module, label, result, n):
+    """Whatever the number of labels, clean documents are left alone; with 200 the others are found."""
+    rng = random.Random(n)
+    text = lambda bad: prose(rng, 40) + (" vile wretch" * 4 if bad else "")
+    rows = [(i, text(i % 2)) for i in range(n)] + [(1000 + i, text(0)) for i in range(50)] + [(2000 + i, text(1)) for i in range(50)]
+    bad = (lambda i: i % 2) if module is toxicity else (lambda i: 1 - i % 2)
+    labels = spark.createDataFrame([(i, bad(i)) for i in range(n)], f"doc_id long, {label} int")
+    got = {r["doc_id"]: r[result] for r in module.score(frame(spark, rows), labels).collect()}
+    assert sum(got[1000 + i] for i in range(50)) <= 2
+    assert n < 200 or sum(got[2000 + i] for i in range(50)) >= 45
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_without_any_difference(spark, module, label):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 40)) for i in range(300)]
+    labels = spark.createDataFrame([(i, rng.randint(0, 1)) for i in range(300)], f"doc_id long, {label} int")
+    assert not any(r[2] for r in module.score(frame(spark, rows), labels).collect())
+
+
+def test_classifiers_take_other_columns(spark):
+    """The text's column by name, metadata of other types and in other cases, alike in training and scoring."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 30) + (" vile wretch" * 4 if i % 2 else ""), i % 2, f"2024-01-0{1 + i % 2}") for i in range(200)]
+    df = spark.createDataFrame(rows, "key long, body string, SOURCE long, lang string").withColumn("lang", F.to_date("lang")).withColumn("text", F.lit(1))
+    labels = df.select("key", F.col("SOURCE").cast("int").alias("toxic"), (1 - F.col("SOURCE")).cast("int").alias("quality"))
+    toxic = {r["doc_id"]: r["is_toxic"] for r in toxicity.score(df, labels, id_col="key", text_col="body").collect()}
+    low = {r["doc_id"]: r["is_low"] for r in quality.score(df, labels, id_col="key", text_col="body").collect()}
+    assert sum(toxic[i] == bool(i % 2) for i in toxic) >= 195 and sum(low[i] == bool(i % 2) for i in low) >= 195
+    assert {r["key"] for r in toxicity.drop_toxic(df, labels, id_col="key", text_col="body").collect()} == {i for i in toxic if not toxic[i]}
+
+
+def test_margins_are_those_of_the_mean_embedding():
+    """Scores by word equal the definition: the mean over words of the mean over n-grams, through the margins of the table."""
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.25, 0.0)
+    for t in ["One two, two!", "naïve 中文 words", "", None, "a"]:
+        w = toxicity.words(t)
+        grams = [dict.fromkeys([f"<{x}>"[i : i + k] for k in toxicity.GRAMS for i in range(len(x) + 3 - k)] + [f"<{x}>"]) for x in w]
+        assert [len(toxicity.buckets(x)) for x in w] == [len(g) for g in grams]
+        want = 0.25 + (sum(float(np.mean(model.margin[toxicity.buckets(x)].astype(float))) for x in w) / len(w) if w else 0)
+        assert model.margins([t])[0] == pytest.approx(want)
+
+
 @pytest.mark.parametrize("module,label,result", [(toxicity, "toxic", "is_toxic"), (quality, "quality", "is_low")])
 def test_classifier_odd_rows(spark, module, label, result):
     rng = random.Random(6)
