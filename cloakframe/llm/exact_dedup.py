@@ -5,11 +5,17 @@ where the distinct ones are sorted; a block's name is the integer of its partiti
 adjacent names of a document form pairs, equal pairs get a new name in the same way, and so on,
 half as many each time, until one integer is left: the document's identity. Names come from
 comparing whole blocks and whole pairs, so two documents share an identity only if their
-texts are equal character for character; no digest is involved.
+texts are equal character for character.
+
+The places of a block travel with it as a list. Blocks that more than ``HOT`` places may have, such as those of empty texts or of a page
+that a third of the corpus repeats, are counted beforehand by a hash, which only says which way they go: their places are
+split at random into parts of about ``HOT``, the parts named, and each block gets the least name of its parts, so that no
+list grows with the corpus.
 
 Defined cases: a null text has no identity, is nobody's copy and stays; empty texts are copies
 of each other; repeated rows are copies; where ``doc_id`` ties or is null, the earliest row
-counts as first (null ids last); extra columns pass through untouched.
+counts as first (null ids last); an empty table gives an empty one; texts of any length are compared whole; extra columns,
+whatever their names, pass through untouched.
 """
 
 from __future__ import annotations
@@ -17,25 +23,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, with_row_id, without_rows, write_table
+from .common import drop_tables, small_enough, with_row_id, without_rows, write_table
 
 BLOCK_CHARS = 4096
 
-#: Names of level k end in these low bits, so that names of two levels never meet.
+#: Places of a block in one list, about; documented bound of what a task holds for one block.
+HOT = 100_000
+
+#: Names of level k end in these low bits, hot ones in the odd number, so that names of two levels never meet.
 _LEVELS = 64
 
 
+def _listed(rows: DataFrame, content: list[str], low: int) -> DataFrame:
+    """(name, *content, at) for rows (rid, pos, *content): the sorted distinct contents with their places."""
+    name = F.monotonically_increasing_id() * _LEVELS + low
+    return rows.groupBy(*content).agg(F.collect_list(F.struct("rid", "pos")).alias("at")).sortWithinPartitions(*content).select(name.alias("name"), "*")
+
+
 def _named(rows: DataFrame, content: list[str], level: int) -> DataFrame:
-    """(rid, pos, name) for rows (rid, pos, *content)."""
-    name = F.monotonically_increasing_id() * _LEVELS + level
-    return (
-        rows.groupBy(*content)
-        .agg(F.collect_list(F.struct("rid", "pos")).alias("at"))
-        .sortWithinPartitions(*content)
-        .select(name.alias("name"), "at")
-        .select("name", F.explode("at").alias("at"))
-        .select("at.rid", "at.pos", "name")
-    )
+    """(rid, pos, name) for rows (rid, pos, *content), as a written table."""
+    put = lambda named: named.select("name", F.explode("at").alias("at")).select("at.rid", "at.pos", "name")
+    way = F.xxhash64(*content)
+    hot = write_table(rows.groupBy(way.alias("way")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT))
+    if hot.isEmpty():
+        out = write_table(put(_listed(rows, content, 2 * level)))
+        drop_tables(hot)
+        return out
+    side = F.broadcast(hot) if small_enough(hot, 16) else hot
+    rows = rows.withColumn("way", way)
+    cool = _listed(rows.join(side, "way", "left_anti"), content, 2 * level)
+    part = F.pmod(F.xxhash64("rid", "pos"), F.ceil(F.col("n") / HOT)).cast("int")
+    parts = write_table(_listed(rows.join(side, "way").withColumn("part", part), [*content, "part"], 2 * level + 1))
+    least = parts.groupBy(*content).agg(F.min("name").alias("name"))
+    one = parts.drop("name", "part").join(least, content)
+    out = write_table(put(cool.select("name", "at")).unionByName(put(one)))
+    drop_tables(hot, parts)
+    return out
 
 
 def identities(rows: DataFrame, rid: str, text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -47,7 +70,7 @@ def identities(rows: DataFrame, rid: str, text_col: str = "text", block_chars: i
         .select("rid", F.posexplode(F.when(F.size("b") == 0, F.array(F.lit(""))).otherwise(F.col("b"))).alias("pos", "block"))
     )
     level = 0
-    names = write_table(_named(blocks, ["block"], level))
+    names = _named(blocks, ["block"], level)
     written = [names]
     most = names.agg(F.max("pos")).first()[0] or 0
     # Only documents of several blocks go on; rows with pos > 0 say which.
@@ -60,8 +83,9 @@ def identities(rows: DataFrame, rid: str, text_col: str = "text", block_chars: i
             F.max(F.when(F.expr("pos % 2 = 0"), F.col("name"))).alias("left"),
             F.coalesce(F.max(F.when(F.expr("pos % 2 = 1"), F.col("name"))), F.lit(-1)).alias("right"),
         )
-        todo = write_table(_named(pairs.withColumnRenamed("half", "pos"), ["left", "right"], level))
-        written.append(todo)
+        pairs = write_table(pairs.withColumnRenamed("half", "pos"))
+        todo = _named(pairs, ["left", "right"], level)
+        written += [pairs, todo]
         most //= 2
     if todo is not None:
         done.append(todo.select("rid", F.col("name").alias("identity")))

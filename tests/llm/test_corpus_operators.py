@@ -29,8 +29,9 @@ ODD = [(1, None), (2, ""), (2, ""), (3, "one"), (4, "one"), (None, "one"), (5, L
 # ---- exact dedup ----
 
 
-@pytest.mark.parametrize("block", [3, 7, 4096])
-def test_exact_dedup_against_brute_force(spark, block):
+@pytest.mark.parametrize("block,hot", [(3, 100_000), (7, 100_000), (4096, 100_000), (3, 4), (4096, 4)])
+def test_exact_dedup_against_brute_force(spark, monkeypatch, block, hot):
+    monkeypatch.setattr(exact_dedup, "HOT", hot)
     rng = random.Random(block)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9 if block < 9 else 2))) for _ in range(120)]
     rows = list(enumerate(texts))
@@ -254,6 +255,15 @@ def test_decontamination_against_brute_force(spark):
     assert kept == {i for i, _ in docs} - {i for _, i, _ in got}
 
 
+def test_bands_are_as_many_as_the_recall_needs():
+    for threshold in (0.03, 0.1, 0.5, 1.0):
+        s = threshold * 0.5 / (2.0 - threshold * 0.5)
+        assert (1 - s) ** decontaminate.bands(threshold, 0.99) <= 0.01 + 1e-9
+    assert len(decontaminate.Index([(1, "a b c d e f")], 5, 0.03, 0.99).orders) == decontaminate.bands(0.03, 0.99) > 512
+    with pytest.raises(ValueError):
+        decontaminate.bands(0, 0.99)
+
+
 def test_decontamination_odd_rows(spark):
     df = frame(spark, ODD)
     items = spark.createDataFrame([(1, "one"), (1, "one"), (None, None), (2, ""), (3, "very long text very long text")], "item_id long, text string")
