@@ -13,9 +13,13 @@ shingles that the whole document has.
 Only the index of the items travels, checked in size: beyond ``INDEX_ITEMS`` items it is made in
 parts, and the documents are searched for each part. Documents aren't shuffled.
 
-Defined cases: null texts and texts without words match nothing; an item of m < n words is found
+The recall is that for items of which one window has the threshold. Of an item whose shingles are scattered over a document so that
+no window has as much, each window that has some may find it; what is found is verified over the whole document.
+
+Defined cases: null texts and texts without words match nothing; empty tables give an empty one; documents of any length are
+searched whole; an item of m < n words is found
 where its m words occur in a row; the same passage in repeated rows is reported for each;
-repeated items are reported for each; null ids are kept; other columns aren't looked at.
+repeated items are reported for each; null ids are kept; other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -39,22 +43,25 @@ INDEX_ITEMS = 200_000
 #: Shingles that are hashed at a time.
 CHUNK = 1 << 18
 
-_RNG = np.random.default_rng(7)
-_MULS = _RNG.integers(1, 1 << 32, 512, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_ADDS = _RNG.integers(1, 1 << 32, 512, dtype=np.uint64).astype(np.uint32)
-
-
 def bands(threshold: float, recall: float) -> int:
-    """One-row bands that find containment ``threshold`` of the least item of a partition in a window."""
+    """One-row bands, as many as it takes, that find containment ``threshold`` of the least item of a partition in a window."""
+    if not 0 < threshold <= 1 or not 0 < recall < 1:
+        raise ValueError("the threshold must lie in (0, 1], the recall in (0, 1)")
     q, w = 0.5, 1.5  # in units of the partition's upper size
     s = threshold * q / (w + q - threshold * q)
-    return min(512, math.ceil(math.log(1 - recall) / math.log(1 - s)))
+    return math.ceil(math.log(1 - recall) / math.log(1 - s))
+
+
+def _orders(n: int) -> list[tuple[np.uint32, np.uint32]]:
+    """Multipliers and addends of n random orders."""
+    rng = np.random.default_rng(7)
+    return [(np.uint32(a | 1), np.uint32(b)) for a, b in rng.integers(1, 1 << 32, (n, 2), dtype=np.uint64)]
 
 
-def _permuted(x: np.ndarray, p: int) -> np.ndarray:
-    y = x * _MULS[p]
+def _permuted(x: np.ndarray, order: tuple[np.uint32, np.uint32]) -> np.ndarray:
+    y = x * order[0]
     y ^= y >> np.uint32(15)
-    y += _ADDS[p]
+    y += order[1]
     y *= np.uint32(0x85EBCA6B)
     return y
 
@@ -67,7 +74,7 @@ class Index:
     """The searchable form of some items [(id, text)]."""
 
     def __init__(self, items: list[tuple], n: int, threshold: float, recall: float) -> None:
-        self.n, self.threshold, self.bands = n, threshold, bands(threshold, recall)
+        self.n, self.threshold, self.orders = n, threshold, _orders(bands(threshold, recall))
         cache = WordHashes()
         self.ids, self.sets, self.short = [], [], {}
         classes: dict[int, list[int]] = {}
@@ -87,7 +94,7 @@ class Index:
             who = np.array(classes[u])
             bits = 1 << max(16, (len(who) * 64 - 1).bit_length())
             per = []
-            for p in range(self.bands):
+            for p in self.orders:
                 low = np.array([_permuted(_folded(self.sets[i]), p).min() for i in who], np.uint32)
                 order = np.argsort(low)
                 seen = np.zeros(bits, bool)
@@ -137,8 +144,8 @@ class Index:
                 step *= 2
             layers.append((joins, np.repeat(np.arange(len(used)), counts), per))
         hits: set[tuple[int, int]] = set()
-        for p in range(self.bands):
-            low = np.minimum.reduceat(_permuted(x, p), at)
+        for p, order in enumerate(self.orders):
+            low = np.minimum.reduceat(_permuted(x, order), at)
             for joins, doc, per in layers:
                 for again in joins:
                     low = np.minimum.reduceat(low, again)
