@@ -45,7 +45,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive.convert(archive.arcs_of_pages(read(spark, sf_dir, "pages")), "page_id", "arc")
+    return archive.convert(archive.arcs_of_pages(read(spark, sf_dir, "pages")))
 
 
 def queries() -> dict:

@@ -430,22 +430,67 @@ def test_arc_damage():
     assert archive.expanded(gzip.compress(b"a") + gzip.compress(b"b") + b"\x1f\x8bbroken") == b"ab"
 
 
+def fields_of(warc: bytes) -> dict:
+    head = bytes(warc).partition(b"\r\n\r\n")[0]
+    return dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+
+
+@pytest.mark.parametrize("compress", [False, True])
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_header_lines(version, compress):
+    """Blanks in URLs and types, short, missing and impossible dates, other addresses; records in gzip members of their own."""
+    entries = [
+        ("http://a.org/x y", "192.0.2.7", "20010203040506", "text/html; charset=utf-8", b"HTTP/1.0 200 OK\r\n\r\none"),
+        ("http://a.org/ 20", "2001:db8::1", "20010203040506", "no type", b"two\nhttp://fake/ 1.2.3.4 20010203040506 text/html 9\n"),
+        ("http://a.org/", "-", "20019999999999", "text/plain", b""),
+        ("http://b.org/", "example", "2001", "", b"4" * 200_000),
+    ]
+    rows = [archive.converted("x", k, r, archive.moment("19990101")) for k, r in enumerate(archive.archived(archive.arc_file("f.arc", entries, version, compress)))]
+    assert [r[3] for r in rows[1:]] == [e[0] for e in entries] and [r[4] for r in rows[1:]] == [e[1] for e in entries] and not any(r[-2] for r in rows)
+    assert [f"{r[5]:%Y%m%d}" for r in rows[1:]] == ["20010203", "20010203", "19990101", "20010101"] and [r[6] for r in rows] == [True] * 3 + [False, True]
+    assert rows[2][7] == "no type" and fields_of(rows[3][-1])["WARC-Date"] == "1999-01-01T00:00:00Z" and fields_of(rows[3][-1])["ARC-Date"] == "20019999999999"
+    for e, r in zip(entries, rows[1:]):
+        assert bytes(r[-1]).endswith(b"\r\n\r\n" + e[4] + b"\r\n\r\n")
+
+
+def test_arc_broken_members():
+    """What comes behind a broken member is found again."""
+    entries = [(f"http://a.org/{k}", "192.0.2.7", "20010203040506", "text/html", bytes([65 + k]) * 40_000 + random.Random(k).randbytes(3000)) for k in range(6)]
+    parts = [archive.arc_file("f.arc", entries[:k], 1, True) for k in range(7)]
+    whole, at = parts[6], [len(p) for p in parts]
+    broken = bytearray(whole)
+    broken[at[2] + 200 : at[2] + 260] = b"\0" * 60
+    got = [(r[0][0] if r[0] else None, r[3], r[4]) for r in archive.archived(bytes(broken))]
+    assert [g[0] for g in got if g[0] and g[0].startswith("http") and not g[1]] == [f"http://a.org/{k}" for k in (0, 1, 3, 4, 5)]
+    assert sum(g[2] for g in got) >= 1
+    cut = list(archive.archived(whole[: at[3] - 50]))
+    assert [r[0] and r[0][0] for r in cut][-2:] == ["http://a.org/2", None] and cut[-2][3] and cut[-1][4] == 1
+    assert [r[0] is None for r in archive.archived(whole + b"junk")] == [False] * 7 + [True] and len(list(archive.archived(whole + b"\0" * 99))) == 7
+
+
+def test_arc_many_members_take_linear_time():
+    import time
+
+    data = archive.arc_file("f.arc", [("http://a.org/", "1.2.3.4", "20010203040506", "text/html", b"x" * 3000)] * 20_000, 1, True)
+    t = time.perf_counter()
+    assert sum(1 for _ in archive.archived(data)) == 20_001 and time.perf_counter() - t < 20
+
+
 def test_arc_of_pages_round_trip(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    got = archive.convert(archive.arcs_of_pages(pages), "page_id", "arc").filter("warc_type = 'response'").collect()
-    html = {r["page_id"]: (r["url"], r["html"]) for r in pages.collect()}
-    assert len(got) == len(html)
-    for r in got:
-        url, body = html[r["page_id"]]
-        assert r["target_uri"] == url and bytes(r["warc"]).endswith(body.encode() + b"\r\n\r\n")
+    got = archive.convert(archive.arcs_of_pages(pages, most=7)).filter("warc_type = 'response'").collect()
+    strip = lambda w: bytes(w).partition(b"\r\n\r\n")[2].partition(b"\r\n\r\n")[2][:-4].decode()
+    assert sorted((r["target_uri"], strip(r["warc"])) for r in got) == sorted((r["url"], r["html"]) for r in pages.collect())
+    assert len({r["path"] for r in got}) >= len(got) / 7 and any(r["path"].endswith(".gz") for r in got) and {r["content_type"] for r in got} == {"application/http; msgtype=response"}
 
 
 def test_arc_rows(spark):
-    rows = [(1, None, None), (None, "http://x y\n/", "h"), (1, "", ""), (1, "", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit(1))
-    got = archive.convert(archive.arcs_of_pages(pages), "page_id", "arc").collect()
-    assert len(got) == 8 and sum(r["page_id"] is None for r in got) == 2
-    assert archive.convert(spark.createDataFrame([(1, None), (2, b"")], "page_id long, arc binary"), "page_id", "arc").count() == 0
+    rows = [(1, None, None), (None, "http://x y\n/", "h"), (1, "", ""), (1, "", ""), (2, "http://z/", "long text " * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit(1)).withColumn("path", F.lit("p"))
+    got = archive.convert(archive.arcs_of_pages(pages.coalesce(1), most=2)).collect()
+    assert len(got) == 8 and sum(r["warc_type"] == "warcinfo" for r in got) == 3 and not any(r["skipped"] for r in got)
+    arcs = spark.createDataFrame([(1, None), (2, b"")], "page_id long, arc binary").withColumn("warc", F.lit(1))
+    assert archive.convert(arcs, "page_id", "arc").count() == 0 and archive.convert(arcs.limit(0), "page_id", "arc").count() == 0
 
 
 def test_read_arc(spark, tmp_path):
