@@ -11,9 +11,10 @@ In the fragments ``t`` is a token, ``d`` its ASCII digits, ``b`` the text before
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Sequence
 
-from ..families import BY_NAME, CALLING_CODES, CF_ODD, CONTEXT, CONTEXT_BYTES, FIELDS, Family, ints
+from ..families import BY_NAME, CALLING_CODES, CF_ODD, CONTEXT, CONTEXT_BYTES, FIELDS, SKIPS, Family, ints
 
 
 def _raw(pattern: str) -> str:
@@ -31,14 +32,6 @@ def _sum(weights: Sequence[int], order: Sequence[int] | None = None) -> str:
     return "(" + "+".join(f"{w}*{_digit(i)}" for w, i in zip(weights, order)) + ")"
 
 
-def _double(i: int) -> str:
-    return f"cast(substr('0246813579',{_digit(i)}+1,1) as int)"
-
-
-def _luhn(n: int, doubled: Sequence[int]) -> str:
-    return "(" + "+".join(_double(i) if i in doubled else _digit(i) for i in range(1, n + 1)) + ")"
-
-
 def _over_digits(n: str, check: str) -> str:
     """The check on a token whose ASCII digits number ``n``."""
     return f"exists(array(regexp_replace(t,'[^0-9]','')), d -> CASE WHEN length(d){n} THEN {check} ELSE false END)"
@@ -66,23 +59,33 @@ def _chars(text: str) -> str:
 
 
 _MOD97 = "aggregate(transform(sequence(1, length(r)), p -> substr(r, p, 1)), 0, (m, c) -> CASE WHEN c >= 'A' THEN (m*100+ascii(c)-55)%97 ELSE (m*10+ascii(c)-48)%97 END)"
+#: The number of a token without letters behind its country, which fits into 38 digits.
+_PLAIN97 = "cast(concat(substr(w,5), ascii(w)-55, ascii(substr(w,2,1))-55, substr(w,3,2)) as decimal(38,0)) % 97 = 1"
+
+
+def _valid97(v: str) -> str:
+    return (
+        f"exists(array(replace({v},' ','')), w -> CASE WHEN length(w) NOT BETWEEN 15 AND 34 OR w rlike '[^0-9A-Z]' THEN false WHEN w rlike '^[A-Z]{{2}}[0-9]+$' THEN {_PLAIN97} "
+        f"ELSE exists(array(concat(substr(w,5),substr(w,1,4))), r -> {_MOD97} = 1) END)"
+    )
+
+
+#: The valid number at the start of a candidate, which loses its last group until one is.
 _IBAN = (
-    "get(filter(transform(sequence(size(split(t,' ')),1,-1), k -> array_join(slice(split(t,' '),1,k),' ')), v -> "
-    "exists(array(replace(v,' ','')), w -> CASE WHEN length(w) BETWEEN 15 AND 34 AND NOT w rlike r'[^0-9A-Z]' THEN "
-    f"exists(array(concat(substr(w,5),substr(w,1,4))), r -> {_MOD97} = 1) ELSE false END)),0)"
+    f"(CASE WHEN {_valid97('t')} THEN t WHEN contains(t,' ') THEN "
+    f"get(filter(transform(sequence(size(split(t,' '))-1,0,-1), k -> array_join(slice(split(t,' '),1,k),' ')), v -> {_valid97('v')}),0) END)"
 )
 _CPF = [_check11(_sum(range(n + 1, 1, -1)), n + 1) for n in (9, 10)]
 _W = ints("6 5 4 3 2 9 8 7 6 5 4 3 2")
 _CNPJ = [_check11(_sum(_W[13 - n :]), n + 1) for n in (12, 13)]
 _REPEATED = "d <> repeat(substr(d,1,1), length(d))"
-#: 16 digits, filled with zeros on the left, doubled at every second from the right.
-_CARD = f"exists(array(lpad(d,16,'0')), d -> {_luhn(16, range(1, 17, 2))} % 10 = 0)"
+_LUHN = "luhn_check(d)"
 _RUT_SUM = "aggregate(transform(sequence(1,length(d)), p -> (2+(p-1)%6)*(ascii(substr(d,length(d)-p+1,1))-48)), 0, (m, x) -> m+x)"
 _RUT = f"exists(array(regexp_replace(substr(t,1,length(t)-2),'[^0-9]','')), d -> exists(array(11 - {_RUT_SUM} % 11), k -> upper(right(t,1)) = (CASE WHEN k=11 THEN '0' WHEN k=10 THEN 'K' ELSE cast(k as string) END)))"
-_PERSON = "exists(array(right(d,10)), d -> (" + "+".join(_double(i) if i % 2 else _digit(i) for i in range(1, 11)) + ") % 10 = 0)"
+_PERSON = "luhn_check(right(d,10))"
 _NEXT = "NOT a rlike " + _raw(r"^(?:-[0-9Kk]|/(?:\d\d){2}-?\d\d\b)")
 _CODE = "length(regexp_extract(regexp_replace(t,'[^0-9+]',''), '^(?:" + "|".join(c.replace("+", "[+]") for c in CALLING_CODES) + ")', 0))"
-_KEEP = f"(CASE WHEN {_CODE} = 0 THEN 2 ELSE {_CODE} END)"
+_KEEP = f"get(transform(array({_CODE}), k -> CASE WHEN k = 0 THEN 2 ELSE k END),0)"
 
 
 def _reach(text: str, side: str) -> str:
@@ -92,7 +95,7 @@ def _reach(text: str, side: str) -> str:
 
 _PERU = f"concat({_reach('b', 'right')}, t, {_reach('a', 'left')}) rlike " + _raw(r"(?i)\b(" + "|".join(CONTEXT) + r")\b")
 
-_STARRED = "regexp_replace(t,'[0-9]','*')"
+_STARRED = "translate(t,'0123456789','**********')"
 _STARS = "repeat('*',length(t))"
 
 #: family -> the check of each form (None: every candidate counts).
@@ -116,25 +119,25 @@ CHECKS: dict[str, list[str | None]] = {
     "rut": [f"({_ASCII} AND {_RUT})"],
     "cpf": [_over_digits("=11", f"{_REPEATED} AND {_CPF[0]} AND {_CPF[1]}")],
     "cnpj": [_over_digits("=14", f"{_REPEATED} AND {_CNPJ[0]} AND {_CNPJ[1]}")],
-    "credit_card": [_over_digits(">=12", _CARD)],
+    "credit_card": [_over_digits(">=12", _LUHN)],
     "ssn": [f"({_ASCII} AND left(t,3) NOT IN ('000','666') AND left(t,1) <> '9' AND substr(t,5,2) <> '00' AND right(t,4) <> '0000' AND t NOT IN ('078-05-1120','219-09-9999'))"],
     "arg_dni": [_NEXT],
     "co_cc": [_NEXT],
     "co_nit": [_over_digits("=10", _check11(_sum(ints("3 7 13 17 19 23 29 37 41"), range(9, 0, -1)), 10).replace("THEN 0", f"THEN {_sum(ints("3 7 13 17 19 23 29 37 41"), range(9, 0, -1))} % 11"))],
     "personnummer": [_over_digits("=10", _PERSON), _over_digits("=12", _PERSON)],
-    "ec_cedula": [_pure(10, f"{_digit(1)}*10+{_digit(2)} BETWEEN 1 AND 24 AND {_digit(3)} < 6 AND (" + "+".join(_double(i) if i % 2 else _digit(i) for i in range(1, 10)) + f"+{_digit(10)}) % 10 = 0")],
+    "ec_cedula": [_pure(10, f"{_digit(1)}*10+{_digit(2)} BETWEEN 1 AND 24 AND {_digit(3)} < 6 AND {_LUHN}")],
     "pe_dni": [_PERU],
-    "npi": [_pure(10, "(24+" + "+".join(_double(i) if i % 2 else _digit(i) for i in range(1, 10)) + f"+{_digit(10)}) % 10 = 0")],
+    "npi": [_pure(10, "luhn_check(concat('80840',d))")],
     "nhs": [_over_digits("=10", f"(11 - {_sum(range(10, 1, -1))} % 11) % 11 = {_digit(10)}")],
     "uy_ci": [_over_digits("=8", f"({_sum(ints("2 9 8 7 6 3 4"))}+{_digit(8)}) % 10 = 0")],
-    "sin": [_over_digits("=9", f"{_luhn(9, range(2, 9, 2))} % 10 = 0"), _pure(9, f"{_luhn(9, range(2, 9, 2))} % 10 = 0") + " AND NOT startswith(a,'-')"],
+    "sin": [_over_digits("=9", _LUHN), _pure(9, _LUHN)],
     "tfn": [_over_digits("=9", f"{_sum(ints("1 4 3 7 5 8 6 9 10"))} % 11 = 0"), _pure(9, f"{_sum(ints("1 4 3 7 5 8 6 9 10"))} % 11 = 0")],
     "pesel": [_pure(11, f"({_sum(ints("1 3 7 9 1 3 7 9 1 3 1"))}) % 10 = 0")],
     "bsn": [_pure(9, f"{_sum(ints("9 8 7 6 5 4 3 2 -1"))} > 0 AND {_sum(ints("9 8 7 6 5 4 3 2 -1"))} % 11 = 0")],
     "my_number": [_over_digits("=12", _check11(_sum(ints("6 5 4 3 2 7 6 5 4 3 2")), 12))] * 2,
     "rrn": [_over_digits("=13", f"{_DATE} AND (11 - {_sum(ints("2 3 4 5 6 7 8 9 2 3 4 5"))} % 11) % 10 = {_digit(13)}")] * 2,
-    "za_id": [_pure(13, f"{_DATE} AND {_digit(11)} <= 2 AND {_luhn(13, range(2, 13, 2))} % 10 = 0") + " AND NOT startswith(a,'-') AND NOT endswith(b,'-')"],
-    "il_id": [_pure(9, f"{_luhn(9, range(2, 9, 2))} % 10 = 0") + " AND NOT startswith(a,'-') AND NOT endswith(b,'-')"],
+    "za_id": [_pure(13, f"{_DATE} AND {_digit(11)} <= 2 AND {_LUHN}")],
+    "il_id": [_pure(9, _LUHN)],
 }
 
 #: family -> how a token is masked, where it isn't asterisks throughout.
@@ -145,7 +148,7 @@ STARS: dict[str, list[str]] = {
     "dni": ["concat(repeat('*',8), right(t,1))"],
     "nie": ["concat(repeat('*',8), right(t,1))"],
     "nin": ["concat(repeat('*',length(t)-1), right(t,1))"],
-    "phone": [f"concat(left(t,{_KEEP}), regexp_replace(substr(t,{_KEEP}+1),'[0-9]','*'))"],
+    "phone": [f"get(transform(array({_KEEP}), k -> concat(left(t,k), translate(substr(t,k+1),'0123456789','**********'))),0)"],
     "rut": ["concat(repeat('*',length(t)-2), right(t,2))"],
     "cpf": ["concat(repeat('*',9), '-', right(t,2))"],
     "cnpj": ["concat(repeat('*',12), '-', right(t,2))"],
@@ -169,23 +172,35 @@ def _let(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}),0)"
 
 
+def _uses(check: str, name: str) -> bool:
+    return re.search(rf"(?<![\w.']){name}(?![\w'(])", check) is not None
+
+
 def _bind(check: str, token: str, before: str, after: str) -> str:
     """The check with its surroundings bound, those that it uses."""
-    names = [("t", token), ("b", before), ("a", after)]
     body = check
-    import re
-
-    for name, value in reversed(names):
-        if value != name and re.search(rf"(?<![\w.']){name}(?![\w'(])", body):
+    for name, value in (("a", after), ("b", before), ("t", token)):
+        if value != name and _uses(body, name):
             body = f"exists(array({value}), {name} -> {body})"
     return body
 
 
+def _alone(check: str | None) -> bool:
+    """Whether a check looks at the token only."""
+    return check is None or not (_uses(check, "a") or _uses(check, "b"))
+
+
+#: (family, form) whose surroundings are part of the pattern: a run of digits is a candidate as a whole, so that what stands
+#: next to it can't change where candidates begin.
+_EDGES = {("sin", 1): ("", "(?!-)"), ("za_id", 0): ("(?<!-)", "(?!-)"), ("il_id", 0): ("(?<!-)", "(?!-)")}
+
+
 def _forms(family: Family) -> list[tuple[str, str | None, str]]:
     """(pattern, check, star) of each form."""
     checks = CHECKS[family.name] if family.forms[0].around or family.name != "pe_dni" else [None]
     stars = STARS.get(family.name, [_STARS] * len(family.forms))
-    return [(f.pattern, c, s) for f, c, s in zip(family.forms, checks, stars)]
+    edges = [_EDGES.get((family.name, k), ("", "")) for k in range(len(family.forms))]
+    return [(f.native if f.native else before + f.pattern + after, c, s) for f, c, s, (before, after) in zip(family.forms, checks, stars, edges)]
 
 
 # Within a stage: s.g are the gaps around the tokens s.t, one more than there are tokens. What stands
@@ -203,8 +218,21 @@ def _valid(name: str, check: str | None) -> str:
     return f"coalesce({_bind(check, 't', _BEFORE if far else _BEFORE_SHORT, _AFTER_ALL if far else _AFTER)}, false)"
 
 
+def _tokens(x: str, pattern: str) -> str:
+    """All candidates. A pattern of two groups has what isn't part of the token in the first."""
+    return f"regexp_extract_all({x},{_raw(pattern)},{2 if pattern.startswith(SKIPS) else 0})"
+
+
+def _gaps(x: str, pattern: str) -> str:
+    """What stands around the candidates, one piece more than there are candidates."""
+    gaps = f"split({x},{_raw(pattern)},-1)"
+    if pattern.startswith(SKIPS):
+        return f"zip_with({gaps}, regexp_extract_all({x},{_raw(pattern)},1), (g, k) -> concat(g, coalesce(k,'')))"
+    return gaps
+
+
 def _pieces(x: str, pattern: str) -> str:
-    return f"named_struct('g', split({x},{_raw(pattern)},-1), 't', regexp_extract_all({x},{_raw(pattern)},0))"
+    return f"named_struct('g', {_gaps(x, pattern)}, 't', {_tokens(x, pattern)})"
 
 
 def _flags(name: str, check: str | None) -> str:
@@ -212,11 +240,20 @@ def _flags(name: str, check: str | None) -> str:
     return f"transform(s.t, (t, i) -> {_valid(name, check)})"
 
 
+def _simple(x: str, pattern: str, check: str | None, star: str) -> str:
+    """The text after one form whose check looks at tokens only; the pattern runs once where there is no candidate."""
+    if star == STARS["iban"][0]:
+        put = f"coalesce({star}, t)"  # null where there is no valid number
+    else:
+        put = f"CASE WHEN coalesce({check}, false) THEN {star} ELSE t END" if check else star
+    joined = f"array_join(zip_with({_gaps(x, pattern)}, transform(c, t -> {put}), (g, m) -> concat(g, coalesce(m,''))),'')"
+    return _let(_tokens(x, pattern), "c", f"CASE WHEN size(c) = 0 THEN {x} ELSE {joined} END")
+
+
 def _stage(x: str, name: str, pattern: str, check: str | None, star: str) -> str:
     """(x, n): the text after one form, and how many tokens it masked."""
     done = (
-        f"named_struct('x', array_join(transform(s.g, (g, i) -> concat(g, coalesce(get(transform(filter(array(named_struct('t',get(s.t,i),'v',get(f,i))), q -> q.t IS NOT NULL), q -> "
-        f"CASE WHEN q.v THEN {_let('q.t', 't', star)} ELSE q.t END),0),''))),''), 'n', size(filter(f, v -> v)))"
+        f"named_struct('x', array_join(zip_with(s.g, zip_with(s.t, f, (t, v) -> CASE WHEN v THEN {star} ELSE t END), (g, m) -> concat(g, coalesce(m,''))),''), 'n', size(filter(f, v -> v)))"
     )
     return f"CASE WHEN {x} rlike {_raw(pattern)} THEN {_let(_pieces(x, pattern), 's', _let(_flags(name, check), 'f', done))} ELSE named_struct('x', {x}, 'n', 0) END"
 
@@ -279,14 +316,21 @@ CHUNK = 6
 _STATE = "STRUCT<x:STRING,n:ARRAY<INT>>"
 
 
-def _stages(families: Sequence[Family]) -> list[tuple[str, str, str]]:
-    """(family, stage's name, expression over x) in order."""
+def _stages(families: Sequence[Family], counted: bool = True) -> list[tuple[str, str, str]]:
+    """(family, stage's name, expression over x) in order; of (x, n) if ``counted``, else of the text alone."""
     out = []
     for f in families:
         name = f"{f.name}{'_bare' if f.name == 'pe_dni' and not f.forms[0].around else ''}"
         if f.name == "ip":
-            out.append(("ip", "ip_v6", _v6_stage("x")))
-        out += [(f.name, f"{name}_{k}", _stage("x", f.name, *form)) for k, form in enumerate(_forms(f))]
+            out.append(("ip", "ip_v6", _v6_stage("x") if counted else f"({_v6_stage('x')}).x"))
+        for k, (pattern, check, star) in enumerate(_forms(f)):
+            if counted:
+                stage = _stage("x", f.name, pattern, check, star)
+            else:
+                stage = _simple("x", pattern, check, star) if _alone(check) else f"({_stage('x', f.name, pattern, check, star)}).x"
+                if f.name == "email":
+                    stage = f"CASE WHEN contains(x,'@') THEN {stage} ELSE x END"
+            out.append((f.name, f"{name}_{k}", stage))
     return out
 
 
@@ -307,10 +351,10 @@ def _chunks(stages: list[tuple[str, str, str]]) -> list[tuple[str, list[str]]]:
 def mask(families: Sequence[Family], make) -> str:
     """Values without a digit or @ go through the stages as null and are then taken as they are."""
     run = "CASE WHEN x rlike '[0-9@]' THEN x END"
-    for name, stages in _chunks(_stages(families)):
-        body = "x"
-        for stage in stages:
-            body = f"({_let(body, 'x', stage)}).x"
+    for name, stages in _chunks(_stages(families, False)):
+        body = stages[0]
+        for stage in stages[1:]:
+            body = _let(body, "x", stage)
         run = f"{make('masked_' + name, 'x STRING', 'STRING', body)}({run})"
     alone = f"CASE WHEN {_has_v6('x')} THEN ({_v6_stage('x')}).x ELSE x END" if _has_ip(families) else "x"
     return f"coalesce({run}, {alone})"
@@ -348,7 +392,11 @@ def _first(family: Family) -> str:
     found = []
     for pattern, check, _ in _forms(family):
         if check is None:
-            found.append(f"nullif(regexp_extract(x,{_raw(pattern)},0),'')")
+            found.append(f"nullif(regexp_extract(x,{_raw(pattern)},{2 if pattern.startswith(SKIPS) else 0}),'')")
+            continue
+        if _alone(check):
+            value = _TOKEN[family.name] if family.name in _TOKEN else f"CASE WHEN {check} THEN t END"
+            found.append(f"get(filter(transform({_tokens('x', pattern)}, t -> {value}), v -> v IS NOT NULL),0)")
             continue
         token = _let("t", "t", _TOKEN[family.name]) if family.name in _TOKEN else "t"
         hits = f"filter(transform(s.t, (t, i) -> CASE WHEN {_valid(family.name, check)} THEN {token} END), v -> v IS NOT NULL)"
@@ -380,17 +428,22 @@ def _possible(family: Family) -> str:
 
 
 def contains(families: Sequence[Family], make) -> str:
+    """Families without a check go first: one pattern says it all."""
     tests = []
     for f in {f.name: f for f in families}.values():
         hits = []
         for pattern, check, _ in _forms(f):
             if check is None:
                 hits.append(f"x rlike {_raw(pattern)}")
+            elif _alone(check):
+                hits.append(f"exists({_tokens('x', pattern)}, t -> coalesce({check}, false))")
             else:
                 hits.append(f"(x rlike {_raw(pattern)} AND {_let(_pieces('x', pattern), 's', f'exists({_flags(f.name, check)}, v -> v)')})")
         if f.name == "ip":
             hits.append(f"({_has_v6('x')} AND {_let(_v6('x'), 'y', 'exists(y.z, z -> z IS NOT NULL)')})")
-        tests.append(f"({_possible(f)} AND ({' OR '.join(hits)}))")
+        cost = sum(c is not None for _, c, _ in _forms(f))
+        tests.append((cost, f"({_possible(f)} AND ({' OR '.join(hits)}))"))
+    tests = [t for _, t in sorted(tests, key=lambda t: t[0])]
     gate = "x rlike '[0-9@]'" + (" OR " + _has_v6("x") if _has_ip(families) else "")
     return f"CASE WHEN x IS NULL THEN NULL WHEN {gate} THEN ({' OR '.join(tests)}) ELSE false END"
 

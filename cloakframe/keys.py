@@ -6,8 +6,6 @@ import hashlib
 import hmac
 
 KEY_BYTES, TWEAK_BYTES = 32, 7
-#: Fixed by the interchange format: keys derived with another salt don't decrypt existing data.
-HKDF_SALT = bytes.fromhex("6d61736b6f70732d686b64662d73616c74")
 
 
 def _bytes(value: bytes, n: int, what: str) -> bytes:
@@ -35,11 +33,20 @@ def _context(master: bytes, context: str) -> bytes:
     return context.encode()
 
 
-def derive_key(master: bytes, context: str, salt: bytes = HKDF_SALT) -> bytes:
-    """HKDF-SHA256 of the master secret for a context such as a column's name."""
-    info = b"key:" + _context(master, context)
-    prk = hmac.new(salt, master, hashlib.sha256).digest()
-    return hmac.new(prk, info + b"\x01", hashlib.sha256).digest()
+def hkdf(master: bytes, salt: bytes, info: bytes, n: int = KEY_BYTES) -> bytes:
+    """HKDF with SHA-256, as in RFC 5869; an empty salt is that of none."""
+    prk = hmac.new(salt or bytes(32), master, hashlib.sha256).digest()
+    out = block = b""
+    for k in range(1, -(-n // 32) + 1):
+        block = hmac.new(prk, block + info + bytes([k]), hashlib.sha256).digest()
+        out += block
+    return out[:n]
+
+
+def derive_key(master: bytes, context: str, salt: bytes = b"") -> bytes:
+    """HKDF-SHA256 of the master secret for a context such as a column's name. Keys that another program derived with
+    a salt of its own are derived again with that salt."""
+    return hkdf(master, salt, b"key:" + _context(master, context))
 
 
 def derive_tweak(master: bytes | bytearray, context: str) -> bytes:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..families import FIELDS
 from ..functions import contains_pii, extract_pii, mask_pii, mask_pii_audit, mask_pii_fpe, register, rekey_pii_fpe
 from ..keys import derive_key, derive_tweak
-from .derived import CASES, oracle
+from .derived import CASES, MORE, n, oracle
 from .manifest import masking_manifest
 from .policy import Policy
 
@@ -46,7 +46,8 @@ def audit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def family(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection, extraction, masking and counting of one family."""
-    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ref "), F.expr(CASES[name].made), F.lit(" end")).alias("t"))
+    name, case = MORE.get(name) or (name, CASES[name])
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ref "), F.expr(case.made), F.lit(" end")).alias("t"))
     audited = rows.select("o_orderkey", contains_pii("t", [name]).alias("contained"), extract_pii("t", [name]).alias("e"), mask_pii("t", [name]).alias("masked"), mask_pii_audit("t", [name]).alias("a"))
     return audited.select("o_orderkey", "contained", F.col(f"e.{name}").alias("found"), "masked", F.col(f"a.counts.{name}").alias("n"))
 
@@ -64,7 +65,7 @@ def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fpe_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both ciphers keep the format, change what is valid and leave the rest alone."""
+    """Both ciphers keep the format, change what is valid and leave the rest alone; ``fpe_cards`` has what they give."""
     out = _cards(spark, sf_dir)
     for mode in ("ff3", "ff1"):
         c = mask_pii_fpe(F.col("card"), *OLD, patterns=["credit_card"], mode=mode)
@@ -83,6 +84,58 @@ def rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("o_orderkey", (F.col("turned") == F.col("new")).alias("as_direct"), (back == F.col("old")).alias("full_circle"))
 
 
+#: (mode of the keys, digits, their ciphertext), as published for FF3-1 with 256-bit keys.
+VECTORS = [
+    ("a", "890121234567890000", "828619517847699900"), ("a", "4111111111111111", "1064960767628711"), ("a", "123456789", "607331705"), ("a", "14155552671", "34780551212"),
+    ("a", "12345678901234567890123456", "80998387094033638262634220"), ("a", "000000", "706154"), ("b", "890121234567890000", "321377551284055879"), ("b", "0123456789", "8177437935"),
+]
+VECTOR_KEYS = {"a": (bytes(range(32)), bytes(range(7))), "b": (b"\xef" * 32, bytes.fromhex("fedcba98765432"))}
+
+
+def fpe_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card with a published ciphertext in many formats around the orders' keys: encrypted, and rotated back to itself."""
+    key, tweak = VECTOR_KEYS["a"]
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.expr("concat('card ', CASE o_orderkey % 3 WHEN 0 THEN '4111 1111 1111 1111' WHEN 1 THEN '4111-1111-1111-1111' ELSE '4111111111111111' END, ' of ', o_orderpriority)").alias("t"))
+    sealed = rows.select("o_orderkey", mask_pii_fpe(F.col("t"), key, tweak, ["credit_card"]).alias("sealed"))
+    cell = F.regexp_replace(F.regexp_replace("sealed", "^card ", ""), " of .*", "")
+    return sealed.select("o_orderkey", "sealed", rekey_pii_fpe(cell, key, tweak, *NEW, pattern="credit_card").alias("turned")).select(
+        "o_orderkey", "sealed", rekey_pii_fpe(F.col("turned"), *NEW, key, tweak, pattern="credit_card").alias("back"), (F.col("turned") != cell).alias("rotated")
+    )
+
+
+#: Texts of several identifiers, what the whole cascade makes of them, and how often it counts the family named.
+CASCADE = [
+    ("8507158001087 and 9001015009086", "************* and *************", "za_id", 1),
+    ("9001015009086", "*************", "rrn", 1),
+    ("ID 8507158001087 on file", "ID ************* on file", "za_id", 1),
+    ("x 9013015009081 y", "x 9013015009081 y", "za_id", 0),
+    ("850715800108", "850715800108", "za_id", 0),
+    ("123-45-6789, 078-05-1120 and 666-45-6789", "***-**-****, 078-05-1120 and 666-45-6789", "ssn", 1),
+    ("fecha 20250630", "fecha 20250630", "pe_dni", 0),
+    ("DNI 12345678", "DNI ********", "pe_dni", 1),
+    ("id 012345674", "id *********", "il_id", 1),
+    ("fe80::1. and 12:30:45", "fe80:0:0:0:****:****:****:****. and 12:30:45", "ip", 1),
+    ("RUT 76.354.771-K, CPF 529.982.247-25", "RUT **********-K, CPF *********-25", "rut", 1),
+    ("11.222.333/0001-81", "************-81", "cnpj", 1),
+]
+
+
+def cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a text each by turns, through the whole cascade."""
+    texts = F.array(*[F.lit(t) for t, *_ in CASCADE])
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", F.get(texts, (F.col("o_orderkey") % len(CASCADE)).cast("int")).alias("t"))
+    audited = rows.select("o_orderkey", mask_pii("t"), mask_pii_audit("t").alias("a"))
+    count = F.expr("CASE o_orderkey % " + str(len(CASCADE)) + " " + " ".join(f"WHEN {k} THEN a.counts.{f}" for k, (_, _, f, _) in enumerate(CASCADE)) + " END")
+    return audited.select("o_orderkey", F.col("t").alias("masked"), F.col("a.masked").alias("audited"), count.alias("n"))
+
+
+def pe_dni_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight digits with and without a word that makes them a DNI, by the whole cascade."""
+    around = F.expr(f"CASE o_orderkey % 3 WHEN 0 THEN concat('su DNI es ', {n(8)}) WHEN 1 THEN concat('order ', {n(8)}, ' shipped') ELSE concat({n(8)}, ' (documento nacional de identidad)') END")
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", around.alias("t"))
+    return rows.select("o_orderkey", mask_pii("t").alias("masked"), extract_pii("t").getField("pe_dni").alias("found"))
+
+
 def join_on_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sides that were pseudonymised apart still join: customers and their orders on an equally salted key."""
     key = lambda c: F.concat(F.lit("+49 "), F.lpad(c.cast("string"), 10, "0"))
@@ -147,18 +200,18 @@ def all_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations, masked as a stream."""
+    """Documents, masked as a stream."""
     from ..streaming import masked_once
 
-    return masked_once(spark, f"{sf_dir}/conversations.parquet", ["text"], ["conv_id", "turn", "role"])
+    return masked_once(spark, f"{sf_dir}/documents.parquet", ["text"], ["doc_id", "lang"], SOME)
 
 
 def queries() -> dict:
     named = [
         mask_documents, contains_documents, extract_documents, audit_documents, consistent_mask, fpe_format, rekey, join_on_pseudonyms, rates, top_sources,
-        clean_documents, distinct_masked, manifest, policy, sql_mask, all_families, stream_mask,
+        clean_documents, distinct_masked, manifest, policy, sql_mask, all_families, stream_mask, fpe_cards, cascade, pe_dni_context,
     ]
-    return {q.__name__: q for q in named} | {f"family_{f}": partial(family, f) for f in CASES}
+    return {q.__name__: q for q in named} | {f"family_{f}": partial(family, f) for f in [*CASES, *MORE]}
 
 
 # ---- SQL ----
@@ -210,7 +263,7 @@ _PESEL = oracle("pesel")
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {f"family_{f}": oracle(f) for f in CASES}
+    out = {f"family_{f}": oracle(f) for f in [*CASES, *MORE]}
     out["mask_documents"] = f"SELECT doc_id, x AS text FROM (SELECT doc_id, {_masked('credit_card', 'y')} AS x FROM (SELECT doc_id, {_masked('ip', 'z')} AS y FROM (SELECT doc_id, {_masked('email', 'text')} AS z FROM ({_HITS}) WHERE {_HIT})))"
     out["contains_documents"] = f"SELECT doc_id, {', '.join(f'len({f}_) > 0 AS {f}' for f in SOME)} FROM ({_HITS})"
     out["extract_documents"] = f"SELECT doc_id, {', '.join(f'{f}_[1] AS {f}' for f in SOME)} FROM ({_HITS}) WHERE {_HIT}"
@@ -235,5 +288,15 @@ def oracle_sql() -> dict[str, str]:
     # The documents hold identifiers of these three families only.
     sums = " UNION ALL ".join(f"SELECT '{f}' AS family, sum(len({f}_))::bigint AS n FROM ({_HITS})" for f in SOME)
     out["all_families"] = f"SELECT family, n FROM ({sums}) WHERE n > 0"
-    out["stream_mask"] = "SELECT conv_id, turn, role, text FROM conversations"
+    out["stream_mask"] = f"SELECT doc_id, lang, {_masked('credit_card', 'y')} AS text FROM (SELECT doc_id, lang, {_masked('ip', 'z')} AS y FROM (SELECT doc_id, lang, {_masked('email', 'text')} AS z FROM documents))"
+    by_turns = lambda parts: f"CASE o_orderkey % {len(parts)} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(parts)) + " END"
+    cells = by_turns(["'1064 9607 6762 8711'", "'1064-9607-6762-8711'", "'1064960767628711'"])
+    out["fpe_cards"] = f"SELECT o_orderkey, concat('card ', {cells}, ' of ', o_orderpriority) AS sealed, {cells} AS back, true AS rotated FROM orders"
+    masked = by_turns([f"'{m}'" for _, m, _, _ in CASCADE])
+    out["cascade"] = f"SELECT o_orderkey, {masked} AS masked, {masked} AS audited, {by_turns([c for *_, c in CASCADE])} AS n FROM orders"
+    dni = n(8)
+    out["pe_dni_context"] = (
+        f"SELECT o_orderkey, {by_turns([chr(39) + 'su DNI es ********' + chr(39), f'concat({chr(39)}order {chr(39)}, {dni}, {chr(39)} shipped{chr(39)})', chr(39) + '******** (documento nacional de identidad)' + chr(39)])} AS masked, "
+        f"{by_turns([dni, 'NULL', dni])} AS found FROM orders"
+    )
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.policy import load_policy
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; a temporary one only where none is named and Spark is local."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='cloakframe-')}"
+
+
 def as_folder(spark: SparkSession, path: str) -> str:
     """A path that a stream can read: a single file is named by a pattern that only it matches."""
     jvm = spark._jvm

@@ -24,12 +24,13 @@ def hit_rates(events: DataFrame, time_col: str, text_col: str, width: str = "5 m
 
 
 def masked_once(spark: SparkSession, path: str, columns: Sequence[str], keep: Sequence[str], patterns: Sequence[str] | None = None) -> DataFrame:
-    """All that is in ``path``, masked in one streaming run, as a table in memory; for tests and small sources."""
-    from ..sources import as_folder
+    """All that is in ``path``, masked in one streaming run and read back from Parquet in the shared folder, where the stream's
+    checkpoint is as well: a run that lost its driver goes on where it was if it is given the same folder."""
+    from ..sources import as_folder, shared_folder
 
     stream = read_stream(spark, as_folder(spark, path))
     out = stream.select(*keep, *[mask_pii(c, patterns) for c in columns])
-    name = f"masked_{uuid.uuid4().hex}"
-    query = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    target = f"{shared_folder(spark)}/cloakframe/stream-{uuid.uuid4().hex}"
+    query = out.writeStream.format("parquet").option("path", f"{target}/rows").option("checkpointLocation", f"{target}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{target}/rows")

@@ -107,9 +107,29 @@ FIXED = [None, "", "clean text", "fe80::a:b", "only : one", "٣٣٣.٣٣٣.٣٣
          "é" * 20 + " dni " + "é" * 12 + "12345678", "1:2:3:4:5:6:7:8 1::2:3:4:5:6:7:8 fe80::1. ::1.2.3.04", "9001015009086 8507158001087"]
 
 
+def test_email_search_in_linear_time_finds_the_same():
+    import regex
+
+    form = BY_NAME["email"].forms[0]
+    plain, rng = regex.compile(form.pattern), random.Random(1)
+    for _ in range(20_000):
+        t = "".join(rng.choice("a.@é-_9 +٣cx") if rng.random() < 0.7 else rng.choice(["a@b.cc", "@b.co", ".org"]) for _ in range(rng.randint(1, 14)))
+        assert [(m.span(), m[0]) for m in plain.finditer(t)] == [(m.span(), m[0]) for m in form.regex.finditer(t)], t
+
+
+@pytest.mark.parametrize("text", ["a." * 500_000 + " @", "a." * 500_000 + "@", "x@" * 500_000])
+def test_email_takes_linear_time(spark, text):
+    import time
+
+    df = spark.createDataFrame([(text,)], "s string")
+    contained = df.select(contains_pii("s", ["email"]))
+    t = time.perf_counter()
+    assert contained.first()[0] is False and time.perf_counter() - t < 10
+
+
 @pytest.fixture(scope="module")
 def rows(spark):
-    values = FIXED + _noise(1, 400)
+    values = FIXED + _noise(1, 400) + ["é.a@b.org a@b.com.x@y.com", "éabc.def@x.org", "..abc@x.org,-+a@b.cc", "a@b.cc@d.ee"]
     return values, spark.createDataFrame(list(enumerate(values)), "i int, s string").coalesce(1)
 
 
