@@ -5,8 +5,8 @@ run over the lines between two empty ones, for what is wrapped. All families of
 words of the others; words that stand for several alike, such as a GPL without its version, are unknown.
 Sparse features, the word 1-, 2- and 3-grams that occur in the templates, go into a multinomial logistic
 regression over the licence families and an unknown class. It is trained in numpy on variations of the
-templates, on texts that speak of licences without granting one, and on ordinary paragraphs from a
-bounded sample of documents (``MAX_TRAIN``). A temperature fitted on held-out variations calibrates
+templates, on texts that speak of licences without granting one, on grants under other names, and on ordinary paragraphs
+from a bounded sample of documents (``MAX_TRAIN``, ``MAX_PARAGRAPHS``). A temperature fitted on held-out variations calibrates
 the probabilities; a family under ``CONFIDENT`` is unknown. The family then is compared with its own templates:
 it is confirmed if ``COVERED`` of the word pairs of one of them occur in the window.
 
@@ -16,7 +16,8 @@ is "gpl v 3".
 
 Defined cases: null and empty texts and texts that aren't licence-like have no rows; the overlapping
 windows of a paragraph give one row a family, that of the highest probability, the first on ties; what is licence-like but of
-no family is a row of family ``unknown``; repeated rows give rows each; other columns aren't looked at.
+no family is a row of family ``unknown``; repeated rows give rows each, a null id is kept; an empty table gives an empty one (and
+trains on the templates alone); texts of any length are scanned whole; other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ CONFIDENT = 0.6
 COVERED = 0.6
 #: Documents of which ordinary paragraphs are taken for training, at most; documented bound.
 MAX_TRAIN = 400
+#: Pieces of WINDOW words of their lines that are trained on, at most, the first in a hash order; documented bound.
+MAX_PARAGRAPHS = 2000
 #: Variations of each template.
 VARIATIONS = 40
 SEED = 3
@@ -61,6 +64,7 @@ TEMPLATES = {
         "this work is licensed under the GNU General Public License, version 3",
         "under the terms of the GNU General Public License version 3",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
         "GPLv3",
         "GPL version 3",
         "GPL-3.0",
@@ -69,6 +73,7 @@ TEMPLATES = {
         "under the terms of the GNU General Public License, version 2",
         "licensed under GPL version 2",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License",
         "GPLv2",
         "GPL version 2",
         "GPL-2.0",
@@ -159,8 +164,23 @@ NOT_GRANTS = [
     "the general public was informed of the new version",
     "some rights reserved",
     "the unauthorized copying of keys was reported",
+    "permission is granted to anyone to use this for any purpose, and to alter it and redistribute it freely",
 ]
 
+#: Grants of no family: the blank takes a name that stands for any other.
+OTHER_GRANTS = [
+    "licensed under the {} License",
+    "licensed under the {} License, Version 2.0",
+    "released under the {} license",
+    "this work is licensed under the {} License 1.1",
+    "under the terms of the {} Public License, version 3",
+    "you may use it under the {} license",
+    "use of this software is governed by the {} license",
+    "SPDX-License-Identifier: {}",
+    "SPDX: {}",
+]
+OTHER_NAMES = ["Sleepycat", "Ruby", "Vim", "Academic Free", "Common Development", "Reciprocal", "Educational Community", "Q Public", "W3C Software", "Company X"]
+
 ANCHOR = re.compile(
     r"(?i)licen[cs]|copyright|permission|permitted|redistribut|rights[\W_]+reserved|public[\W_]+domain|gpl|spdx|creative[\W_]+commons|"
     r"(?<![a-z0-9])cc(?:0|[\W_]+(?:by|0|zero)(?![a-z0-9]))"
@@ -300,8 +320,8 @@ def fit(ordinary: list[str]) -> Model:
     """``ordinary``: paragraphs that grant nothing."""
     rng = np.random.default_rng(SEED)
     classes = [*TEMPLATES, UNKNOWN]
-    plain = [w for p in ordinary if not ANCHOR.search(p) and (w := words(p)[:WINDOW])]
-    filler = [x for w in plain for x in w][:20_000]
+    plain = [w for p in ordinary if not ANCHOR.search(p) and (w := words(p))]
+    filler = [x for w in plain for x in w]
     rows, y = [], []
     for k, family in enumerate(TEMPLATES):
         for t in TEMPLATES[family]:
@@ -312,6 +332,9 @@ def fit(ordinary: list[str]) -> Model:
         w = words(t)
         rows += [w, *(_variation(w, filler, rng) for _ in range(VARIATIONS))]
         y += [len(TEMPLATES)] * (VARIATIONS + 1)
+    for t in OTHER_GRANTS:
+        rows += [_variation(words(t.format(OTHER_NAMES[i])), filler, rng) for i in rng.integers(0, len(OTHER_NAMES), VARIATIONS)]
+        y += [len(TEMPLATES)] * VARIATIONS
     rows += plain
     y += [len(TEMPLATES)] * len(plain)
     vocabulary: dict[str, int] = {}
@@ -355,14 +378,17 @@ def _descend(x: np.ndarray, y: np.ndarray, n: int, steps: int = 150) -> tuple[np
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Model:
-    """Fitted on the templates and paragraphs of ``most`` documents, the first in a hash order of their ids, then texts."""
+    """Fitted on the templates and ``MAX_PARAGRAPHS`` pieces of all lines of ``most`` documents, the first in a hash order of their
+    ids, then texts; of the pieces, those first in a hash order of their words."""
     rows = docs.select(F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     last = rows.select("h", "t").orderBy("h", "t").limit(most).agg(F.max(F.struct("h", "t")).alias("last")).first()["last"]
     if last is None:
         return fit([])
     some = rows.filter((F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("t") <= last["t"])))
-    rows = some.select("h", "t", "text").distinct().orderBy("h", "t").collect()
-    return fit([p for r in rows for p in r["text"].split("\n")[:20]][:2000])
+    lines = some.select(F.explode(F.split("text", "\n")).alias("line")).select(F.split(F.trim("line"), r"\s+").alias("w"))
+    pieces = lines.select(F.explode(F.expr(f"transform(sequence(0, size(w) - 1, {WINDOW}), i -> array_join(slice(w, i + 1, {WINDOW}), ' '))")).alias("p"))
+    first = pieces.filter("p <> ''").distinct().orderBy(F.xxhash64("p"), "p").limit(MAX_PARAGRAPHS)
+    return fit([r["p"] for r in first.collect()])
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
