@@ -2,9 +2,10 @@
 
 A text is lexed into names, string literals, numbers and operators, with the syntax that common
 languages and configuration files share: ``name = "x"``, ``name: str = 'x'``, ``{"name": "x"}``,
-``obj["name"] = x``, ``NAME => x``, ``export NAME=x`` and ``name: x``. Each assignment becomes a name and an
-expression: literals and names of constants, joined by ``+``, or a bare word. Constants are
-propagated until nothing changes, also ones that are assigned further down. The resolved literals
+``obj["name"] = x``, ``NAME => x``, ``export NAME=x`` and ``name: x``, ``<name>x</name>`` and ``key="name" value="x"``. Each
+assignment becomes a name and an expression: literals and names of constants, joined by ``+``, literals next to each other, in
+brackets also over lines, literals with names in them (``f"{NAME}x"``, ```${NAME}x```), or a bare word. Constants are
+propagated until nothing changes, also ones that are assigned further down; a literal with a name that is no constant stays as it is. The resolved literals
 are scored by how sensitive the name they end up in is, and by how much they look like secrets.
 
 The lexer runs over whole texts, but only texts with a word that makes a name sensitive are sent to
@@ -16,11 +17,13 @@ first after; cycles, chains of 1000 constants and values that constants are join
 characters stay unresolved, of the latter the literal parts are values each; an apostrophe within a word opens no literal, and
 literals are of any length; placeholders and references to the environment (all of
 ``${NAME}``, ``$NAME``, ``$(...)``) aren't literals, nor is prose of five words, unless it is an armoured key or its name says
-a passphrase; repeated rows give findings each; other columns aren't looked at.
+a passphrase; repeated rows give findings each, a null id is kept; an empty table gives an empty one; texts and names of any
+length are lexed whole; other columns, whatever their names, aren't looked at.
 """
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from bisect import bisect_left
@@ -72,6 +75,12 @@ _DUMMY = re.compile(
 #: An armoured key has spaces, and so has a passphrase under a name that promises one.
 _PEM = re.compile(r"\s*-----BEGIN [A-Z0-9 ]+-----")
 _PHRASE = re.compile(r"pass_?phrase")
+_PREFIX = re.compile(r"(?i)[rbuf]|rb|br|rf|fr")
+#: Names within a literal, by the kind of the term.
+_FIELDS = {"fill": re.compile(r"(?<!\{)\{\s*([A-Za-z_][\w.]*)\s*\}(?!\})"), "tmpl": re.compile(r"\$\{\s*([A-Za-z_$][\w$.]*)\s*\}")}
+_ELEMENT = re.compile(
+    r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>|\b(?:key|name)\s*=\s*(['\"])([^'\"<>]*)\3\s+value\s*=\s*(['\"])([^'\"<>]*)\5"
+)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}
 
 
@@ -98,11 +107,31 @@ def _tokens(text: str) -> list[tuple[str, str, int]]:
     return out
 
 
-def _plain(token: str) -> tuple[str, int]:
+def _plain(token: str, raw: bool = False) -> tuple[str, int]:
     """The value of a string token, and how long its opening quote is."""
     q = 3 if token[:3] in ('"""', "'''") and len(token) >= 6 else 1
     body = token[q:-q]
-    return (re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), body, flags=re.S) if "\\" in body else body), q
+    return (re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), body, flags=re.S) if "\\" in body and not raw else body), q
+
+
+def _elements(text: str) -> list[tuple[str, list[tuple[str, str, int]], int]]:
+    """Assignments by markup: elements with text, and pairs of a key and a value."""
+    out = []
+    for m in _ELEMENT.finditer(text) if "<" in text else ():
+        name, k = (m[1], 2) if m[1] else (m[4], 6)
+        value = m[k].strip()
+        if name and value:
+            out.append((name, [("lit", html.unescape(value), m.start(k) + m[k].index(value))], m.start()))
+    return out
+
+
+def _literal(toks: list, k: int) -> int:
+    """How many tokens the literal at ``k`` takes, a prefix included; 0 where there is none."""
+    if k < len(toks) and toks[k][0] == "str":
+        return 1
+    if k + 1 < len(toks) and toks[k][0] == "name" and toks[k + 1][0] == "str" and toks[k + 1][2] == toks[k][2] + len(toks[k][1]) and _PREFIX.fullmatch(toks[k][1]):
+        return 2
+    return 0
 
 
 def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int]], int]]:
@@ -121,7 +150,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int]], int]]:
                 j += 3
             if j < n and toks[j][1] == ":":
                 k = j + 1
-                while k < n and k < j + 8 and (toks[k][0] == "name" or toks[k][1] in ("[", "]", ",")) and toks[k][1] != "=":
+                while k < n and (toks[k][0] == "name" or toks[k][1] in ("[", "]", ",")) and toks[k][1] != "=":
                     k += 1
                 if k > j + 1 and k < n and toks[k][1] == "=":
                     j = k
@@ -130,7 +159,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int]], int]]:
         else:
             i += 1
             continue
-        if j >= n or toks[j][0] != "op" or toks[j][1] not in _ASSIGN or not name or len(name) > 200:
+        if j >= n or toks[j][0] != "op" or toks[j][1] not in _ASSIGN or not name:
             i += 1
             continue
         op, after = toks[j][1], toks[j][2] + len(toks[j][1])
@@ -142,21 +171,44 @@ def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int]], int]]:
             i = j
         else:
             i += 1
+    if found := _elements(text):
+        out = sorted([*out, *found], key=lambda a: a[2])
     return out
 
 
-def _expression(text: str, toks: list, j: int, op: str, tight: bool, quoted: bool) -> tuple[list, int]:
+def _bracketed(text: str, toks: list, start: int, quoted: bool) -> tuple[list, int]:
+    """An expression in brackets, which may run over lines."""
+    j, n, deep = start, len(toks), 0
+    while j < n and (toks[j][1] == "(" or toks[j][0] == "nl"):
+        deep += toks[j][1] == "("
+        j += 1
+    terms, j = _expression(text, toks, j, "=", False, quoted, True)
+    while j < n and deep and (toks[j][1] == ")" or toks[j][0] == "nl"):
+        deep -= toks[j][1] == ")"
+        j += 1
+    if deep or (j < n and (toks[j][1] == "=>" or toks[j][0] in ("name", "str", "num"))):
+        return [], start
+    return terms, j
+
+
+def _expression(text: str, toks: list, j: int, op: str, tight: bool, quoted: bool, inside: bool = False) -> tuple[list, int]:
     terms: list[tuple[str, str, int]] = []
     n = len(toks)
+    if j < n and toks[j][1] == "(" and not inside:
+        return _bracketed(text, toks, j, quoted)
     while j < n:
         kind, value, place = toks[j]
         if kind == "nl" and not terms:
             return [], j
-        if kind == "str":
-            body, q = _plain(value)
-            if j + 1 < n and toks[j + 1][1] in (":", "=>") and toks[j + 1][0] == "op" and not terms and op in (":", "=>"):
+        if size := _literal(toks, j):
+            prefix = value.lower() if size == 2 else ""
+            token, at = toks[j + size - 1][1:]
+            body, q = _plain(token, "r" in prefix)
+            if j + size < n and toks[j + size][1] in (":", "=>") and toks[j + size][0] == "op" and not terms and op in (":", "=>"):
                 return [], j  # a key of what follows
-            terms.append(("lit", body, place + q))
+            as_ = "fill" if "f" in prefix else "tmpl" if token[0] == "`" else "lit"
+            terms.append((as_ if as_ != "lit" and _FIELDS[as_].search(body) else "lit", body, at + q))
+            j += size - 1
         elif kind in ("name", "num", "other") or value in "+":
             m = _BARE.match(text, place)
             word = m[0] if m else value
@@ -166,9 +218,6 @@ def _expression(text: str, toks: list, j: int, op: str, tight: bool, quoted: boo
                 return [], j + 1
             if kind == "name" and re.fullmatch(r"[A-Za-z_$][\w$.]*", word) and word == value and (not op == ":" or re.search(r"[A-Z_]", word) or quoted):
                 terms.append(("word" if tight or re.search(r"\d", word) else "ref", word, place))
-            elif kind == "name" and j + 1 < n and toks[j + 1][0] == "str" and toks[j + 1][2] == place + len(value) and len(value) <= 2:
-                j += 1  # a prefix such as r"x"
-                continue
             elif terms or (op == ":" and word.isalpha()):
                 return [], j + 1
             else:
@@ -180,11 +229,17 @@ def _expression(text: str, toks: list, j: int, op: str, tight: bool, quoted: boo
         else:
             break
         j += 1
-        if j < n and toks[j][1] == "+":
-            j += 1
+        k = j
+        while inside and k < n and toks[k][0] == "nl":
+            k += 1
+        if k < n and toks[k][1] == "+":
+            j = k + 1
             while j < n and toks[j][0] == "nl":
                 j += 1
             continue
+        if terms[-1][0] not in ("ref", "word") and (size := _literal(toks, k)) and not (k + size < n and toks[k + size][1] in _ASSIGN):
+            j = k
+            continue
         break
     return terms, j
 
@@ -214,6 +269,18 @@ def resolved(found: list[tuple[str, list, int]]) -> list[tuple[str, str, int, bo
             terms = found[k][1]
             parts, wait = [], []
             for kind, v, _ in terms:
+                if kind in _FIELDS:
+                    known = {x: s for x in _FIELDS[kind].findall(v) if (s := source(x, k)) is not None}
+                    wait += [s for s in known.values() if s not in values]
+                    if wait:
+                        continue
+                    fits = {x: values[s] for x, s in known.items() if values[s] is not None}
+                    if len(v) + sum(len(fits.get(x, "")) for x in _FIELDS[kind].findall(v)) > LONGEST:
+                        fits = {}  # beyond the bound it stays as it is
+                    if fits:
+                        via.add(k)
+                    parts.append(_FIELDS[kind].sub(lambda m: fits.get(m[1], m[0]), v))  # noqa: B023
+                    continue
                 s = None if kind == "lit" else source(v, k)
                 if kind == "lit" or (s is None and kind == "word" and len(terms) == 1):
                     parts.append(v)
@@ -237,7 +304,7 @@ def resolved(found: list[tuple[str, list, int]]) -> list[tuple[str, str, int, bo
                 else:
                     values[k] = "".join(parts)
             stack.pop()
-    parts_of = {k: [(found[k][0], v, place, False) for kind, v, place in found[k][1] if kind == "lit"] for k in grown}
+    parts_of = {k: [(found[k][0], v, place, False) for kind, v, place in found[k][1] if kind == "lit" or kind in _FIELDS] for k in grown}
     out = []
     for k in range(len(found)):
         if (v := values[k]) is not None:
