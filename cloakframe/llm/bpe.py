@@ -11,7 +11,7 @@ open a contraction; so no cut is made behind white space, nor before an apostrop
 anything but a letter or digit of ASCII, nor within a character.
 
 Defined cases: a null text has null ids and a null round trip; an empty text has no ids; repeated
-rows are encoded alike; texts of any length are encoded whole; decoding an id outside the vocabulary gives null; extra columns pass through.
+rows are encoded alike; texts of any length are encoded whole; decoding an id outside the vocabulary gives null; an empty table gives an empty one; extra columns pass through.
 """
 
 from __future__ import annotations

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +32,17 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='cloakframe-')}"
+    folder = tempfile.mkdtemp(prefix="cloakframe-")
+    atexit.register(shutil.rmtree, folder, True)
+    made = f"file://{folder}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+#: Tables written since each ``finished`` that is under way.
+_BEHIND: list[list[DataFrame]] = []
+
+
 def write_table(df: DataFrame) -> DataFrame:
     """Materialise ``df`` once in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
@@ -42,6 +50,19 @@ def write_table(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    if _BEHIND:
+        _BEHIND[-1].append(out)
+    return out
+
+
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns as a written table; the scratch tables behind it are deleted."""
+    _BEHIND.append([])
+    try:
+        out = write_table(make())
+    finally:
+        behind = _BEHIND.pop()
+    drop_tables(*(t for t in behind if t is not out))
     return out
 
 

@@ -415,6 +415,38 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 5 and all(r["round_trip"] is not False for r in got.values())
 
 
+@pytest.mark.parametrize("rows", [[], [(None, "one two three four"), (None, None), (7, "word " * 60_000), (7, "word " * 60_000), (8, "")]])
+def test_pipeline_odd_tables(spark, tmp_path, rows):
+    """Empty tables; null and repeated ids, very long texts, and columns that bear the names of the operators' own."""
+    import corpus_pipeline
+
+    docs = frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    docs.selectExpr("*", "1 AS rid", "2 AS _rid", "'x' AS root", "'y' AS toxic", "3 AS token_ids_").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == ([] if not rows else [(False, 7), (False, 8), (True, 0), (True, 0)])
+
+
+def test_stages_leave_no_tables(spark, tmp_path):
+    from cloakframe.llm import common, exact_dedup
+
+    docs = frame(spark, [(1, "a b"), (2, "a b"), (3, "c")])
+    folder = scratch_folder(spark)
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = common.finished(lambda: exact_dedup.drop_copies(docs))
+    assert {p.name for p in set(folder.iterdir()) - before} == {out._scratch.rsplit("/", 1)[1]}
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def scratch_folder(spark):
+    from pathlib import Path
+
+    from cloakframe.llm import common
+
+    return Path(common.scratch_root(spark).removeprefix("file://")) / "cloakframe"
+
+
 def test_stages_keep_their_columns(spark):
     import corpus_pipeline
 
