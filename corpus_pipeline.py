@@ -6,15 +6,18 @@
 4. decontamination: rows that hold half of a benchmark item or more go.
 5. bpe: ``doc_id``, ``token_ids``, ``n_tokens`` and ``round_trip`` of what is left.
 
-A stage works on all that its predecessor kept. Defined cases are those of the operators.
+A stage works on all that its predecessor kept; its input and scratch tables are deleted once its output is written. Defined cases
+are those of the operators; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cloakframe.llm import bpe, decontaminate, exact_dedup, jaccard_join, toxicity
-from cloakframe.llm.common import read, write_table
+from cloakframe.llm.common import drop_tables, finished, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = write_table(docs)
-    return docs
+        make = partial(stage, spark, docs, sf_dir)
+        if k + 1 == len(STAGES):
+            return make()
+        before, docs = docs, finished(make)
+        if k:
+            drop_tables(before)
