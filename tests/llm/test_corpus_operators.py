@@ -173,6 +173,58 @@ def test_jaccard_join_dense_nodes(spark, monkeypatch):
     assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
 
 
+def crowd_rows(k):
+    rng = random.Random(k)
+    base, other, rows = prose(rng, 100).split(), prose(rng, 100).split(), []
+    for i in range(k + k // 4):
+        w = list(base if i < k else other)
+        for _ in range(rng.randint(1, 9)):
+            w[rng.randrange(100)] = prose(rng, 1)
+        rows.append((i, " ".join(w)))
+    return rows + [(k + 1000 + i, rows[i % 3][1]) for i in range(9)] + [(k + 2000 + i, prose(rng, 30)) for i in range(20)]
+
+
+def test_jaccard_crowds_are_exact(spark, monkeypatch):
+    """Links and classes of crowds in many tiles, with copies, pairs under the threshold and sets that are in no crowd."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 12)
+    monkeypatch.setattr(jaccard_join, "SMALL", 8)
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    rows = crowd_rows(80)
+    brute = brute_pairs(rows)
+    assert joined_pairs(spark, rows) == brute and 3000 < len(brute) < 79 * 80 // 2 + 19 * 20 // 2 + 9 * 80
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(frame(spark, rows)).collect()}
+    assert got == classes_of(brute, rows)
+    kept = {r["doc_id"] for r in jaccard_join.drop_near_duplicates(frame(spark, rows)).collect()}
+    assert kept == groups(brute, [i for i, _ in rows])
+
+
+def test_jaccard_pairs_of_crowds_are_never_rows(spark, monkeypatch):
+    """600 near copies have 179,700 links; what the join writes stays in proportion to the sets."""
+    rows, written, write = crowd_rows(600), [], jaccard_join.write_table
+
+    def counted(df):
+        out = write(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "write_table", counted)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.jaccard_join(frame(spark, rows)).collect()}
+    want = classes_of(brute_pairs(rows), rows)
+    assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want) and sum(n for _, n in want.values()) > 200_000
+    assert max(written) < 40 * len(rows)
+
+
+def test_jaccard_overlaps():
+    """Matrix products and single additions together are the sizes of the intersections; parts are those of the graph."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([rng.integers(0, 40, 25), rng.integers(100, 4000, rng.integers(0, 90))])).astype(np.uint64) for _ in range(70)]
+    got = jaccard_join._overlaps(sets[:30], sets[30:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[30:]] for a in sets[:30]]
+    hits = np.zeros((4, 3), bool)
+    hits[[0, 2, 2, 3], [1, 1, 0, 2]] = True
+    assert jaccard_join._parts(hits).tolist() == [0, 1, 0, 3, 0, 0, 3]
+
+
 def groups(pairs, ids):
     root = {i: i for i in ids}
 
