@@ -119,3 +119,16 @@ def test_entry(spark):
     names = e.queries()
     assert "mask_documents" in names and set(e.oracle_sql()) <= set(names)
     assert e.entry(spark).count() >= 0
+
+
+def test_join_on_pseudonyms_without_collisions(spark, tmp_path):
+    """Keys whose salted pseudonyms are equal, keys longer than ten digits, negative ones and nulls join with their own only."""
+    from cloakframe.plans.queries import SALT, join_on_pseudonyms
+
+    keys = [79591, 94410, 12345678901, 12345678902, 2**63 - 1, 5, -5]
+    salted = spark.createDataFrame([("+49 0000079591",), ("+49 0000094410",)], "t string").select(mask_pii("t", ["phone"], mode="consistent", salt=SALT))
+    assert salted.distinct().count() == 1
+    spark.createDataFrame([(k, f"s{i}") for i, k in enumerate(keys)] + [(None, "none")], "c_custkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, float(i)) for i, k in enumerate(keys)] + [(None, 1.0), (7, 1.0)], "o_custkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = sorted(tuple(r) for r in join_on_pseudonyms(spark, str(tmp_path)).collect())
+    assert got == [(f"s{i}", 1, float(i)) for i in range(len(keys))]
