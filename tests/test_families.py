@@ -191,3 +191,39 @@ def test_modes_are_checked(spark):
     for more in ({"mode": "other"}, {"salt": "x"}, {"mode": "consistent"}):
         with pytest.raises(ValueError):
             mask_pii("s", **more)
+
+
+def test_gates_let_every_candidate_through(spark):
+    """Where a stage's pattern finds a candidate, the shape of the text doesn't rule the stage out; no stage is without a gate."""
+    from cloakframe.families import unconditional
+    from cloakframe.functions import native
+    from cloakframe.plans.derived import CASES, MORE
+    from cloakframe.plans.queries import CASCADE
+
+    made = [c.made for c in CASES.values()] + [c.made for _, c in MORE.values()]
+    keys = spark.range(60).selectExpr("id AS o_orderkey").selectExpr(*[f"{m} AS t{i}" for i, m in enumerate(made)])
+    tokens = [t for row in keys.collect() for t in row] + [t for t, *_ in CASCADE]
+    tokens += ["IE1A23456B", "RO12", "AB 12 34 56 C", "1EG4TE5MK72", "120032A00000000", "4111\t1111\n1111 1111", "529982.247-25", "1234 567890", "1234-5678 9012", "+4930 12.34-567"]
+    rng = random.Random(7)
+    texts = tokens + [rng.choice(["", "x", "É", "_", "-", " "]).join(rng.choice(tokens) for _ in range(3)) for _ in range(3000)] + [f"{rng.choice(' .-_(é')}{t}{rng.choice(' .-_)é')}" for t in tokens]
+    families = [*REGISTRY, unconditional(next(f for f in REGISTRY if f.name == "pe_dni"))]
+    stages = [n for _, n, _ in native._stages(families)]
+    assert set(stages) == set(native.GATES)
+    patterns = {}
+    for f in families:
+        bare = "_bare" if f.name == "pe_dni" and not f.forms[0].around else ""
+        patterns |= {f"{f.name}{bare}_{k}": p for k, (p, _, _) in enumerate(native._forms(f))}
+    shaped = spark.createDataFrame([(t,) for t in texts], "x string").selectExpr(f"{native._let(native._state('x'), 'o', native._shaped())} AS o").cache()
+    found = shaped.selectExpr(*[f"count_if(o.x rlike {native._raw(p)}) AS {n}" for n, p in patterns.items()]).first()
+    missed = shaped.selectExpr(*[f"count_if(o.x rlike {native._raw(p)} AND NOT {native.GATES[n]}) AS {n}" for n, p in patterns.items()]).first()
+    assert not any(missed), {n: missed[n] for n in patterns if missed[n]}
+    assert all(found), [n for n in patterns if not found[n]]
+    assert shaped.filter(f"NOT {native.GATES['ip_v6']} AND {native._has_v6('o.x')}").count() == 0
+
+
+def test_short_rows_are_spread(spark, tmp_path):
+    from cloakframe.plans.queries import _spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = _spread(spark, spark.read.parquet(str(tmp_path / "one")))
+    assert rows.count() == 1000 and rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
